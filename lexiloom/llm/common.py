@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,10 +103,18 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that aren't ASCII white space."""
+#: Besides white space, ASCII punctuation and control bytes.
+APART = np.zeros(256, bool)
+APART[:128] = [not chr(i).isalnum() for i in range(128)]
+#: ASCII capitals to small letters.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_spans(data: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that don't separate words; by default ASCII white space does."""
     space = np.ones(len(data) + 2, bool)
-    space[1:-1] = _SPACE[data]
+    space[1:-1] = apart[data]
     edge = np.flatnonzero(space[1:] != space[:-1])
     return edge[0::2], edge[1::2]
 
@@ -116,3 +126,101 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1]) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+def binary_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column, and where each row begins in them (and the last ends); nulls are empty."""
+    col = col.cast(pa.large_binary())
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with about most bytes of text, their bytes and their rows' offsets; a longer text has a slice of its own."""
+    for b in batches:
+        at = binary_parts(b.column(b.schema.get_field_index(text)))[1]
+        lo = 0
+        while lo < len(b):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+            part = b.slice(lo, hi - lo)
+            yield part, *binary_parts(part.column(part.schema.get_field_index(text)))
+            lo = hi
+
+
+def doc_words(data: np.ndarray, at: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, none across rows, and the number of the first word of each row (and the end)."""
+    space = apart[data]
+    word = ~space
+    before = np.ones(len(data), bool)
+    before[1:] = space[:-1]
+    after = np.ones(len(data), bool)
+    after[:-1] = space[1:]
+    inner = at[(at > 0) & (at < len(data))]
+    before[inner] = True
+    after[inner - 1] = True
+    starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
+    return starts, ends, np.searchsorted(starts, at)
+
+
+def ragged(kind: pa.DataType, flat: np.ndarray, at: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """A list column of the slices flat[at[i]:at[i + 1]]."""
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, kind), mask=None if null is None else pa.array(null))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, root: the least node of each connected component of the edges (pairs of 64-bit integers).
+
+    Union-find contracts what each partition holds; then large-star and small-star steps alternate until nothing
+    changes, so no component has to fit into a task. Each round's edges are cut into the shared folder.
+    """
+
+    def contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for t in it:
+            u, v = np.concatenate([u, t.column(0).to_numpy()]), np.concatenate([v, t.column(1).to_numpy()])
+            if len(u) > 2_000_000:  # its forest stays
+                u, v = forest(u, v)
+        u, v = forest(u, v)
+        for i in range(0, len(u), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000]), pa.array(v[i : i + 100_000])], ["u", "v"])
+
+    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    e = cut(e.mapInArrow(contract, "u long, v long"))
+    seen = None
+    while True:
+        # large-star: greater neighbours point to the least of the neighbourhood
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        e = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small-star: lesser neighbours, and the node itself, point to the least of them; here u > v always holds
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = e.join(least, "u")
+        e = e.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        e = cut(e)
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen:
+            break
+        seen = state
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node of its component) for the given ones: union-find, over whole arrays at a time."""
+    names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    root = np.arange(len(names))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+    own = np.flatnonzero(root != np.arange(len(names)))
+    return names[own], names[root[own]]
