@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, toxicity
+from . import minhash, suffix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix": suffix.op2_suffix,
     "op5_minhash": minhash.op5_minhash,
     "op9_toxicity": toxicity.op9_toxicity,
 }
