@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, suffix, toxicity
+from . import minhash, mixing, suffix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix": suffix.op2_suffix,
     "op5_minhash": minhash.op5_minhash,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLE: dict[str, str] = {}
