@@ -221,7 +221,8 @@ def mixed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     if n.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)
     blocks = blocks.join(base, (F.col("sid") == F.col("b_sid")) & (F.col("part") == F.col("b_part"))).withColumn("index", F.col("base") + F.col("nth"))
-    out = drawn.join(blocks, ["sid", "index"])
+    # both sides grow with the input, whatever the planner takes the slots' size for
+    out = drawn.hint("merge").join(blocks, ["sid", "index"])
     return out.select("shard", "slot", "source", "epoch", F.col("index").alias("block"), "n_words", "doc_ids", F.col("text").cast("string").alias("text"), "langs", "ends")
 
 
