@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, sentencepieces, suffix, tokenfiles, toxicity
+from . import langid, licenses, minhash, mixing, sentencepieces, suffix, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix": suffix.op2_suffix,
     "op3_sentencepiece": sentencepieces.op3_sentencepiece,
     "op4_token_files": tokenfiles.op4_token_files,
     "op5_minhash": minhash.op5_minhash,
+    "op7_language": langid.op7_language,
+    "op8_licenses": licenses.op8_licenses,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
