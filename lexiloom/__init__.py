@@ -1,0 +1 @@
+"""Checks source code for hardcoded user-interface text against a catalog of translations, with Spark."""
