@@ -215,13 +215,13 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def without_copies(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    gone = grouped(docs, p).filter("key <> root_key").select(F.col("key").alias("gone"))
-    k, nth = fresh(docs, "key"), fresh(docs, "nth")
+    k, nth, gone, again = (fresh(docs, c) for c in ("key", "nth", "gone", "again"))
+    late = grouped(docs, p).filter("key <> root_key").select(F.col("key").alias(gone))
     rows = docs.withColumn(k, F.when(F.col("text").isNotNull(), row_key(F.col("doc_id"), F.col("text"))))
-    rows = rows.join(gone, F.col(k) == F.col("gone"), "left_anti")
-    again = rows.filter(F.col(k).isNotNull()).groupBy(k).count().filter("count > 1").select(F.col(k).alias("again"))
-    once = rows.join(again, F.col(k) == F.col("again"), "left_anti")
-    more = rows.join(again, F.col(k) == F.col("again"), "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(k).orderBy(F.lit(1)))).filter(F.col(nth) == 1)
+    rows = rows.join(late, F.col(k) == F.col(gone), "left_anti")
+    twice = rows.filter(F.col(k).isNotNull()).groupBy(k).count().filter("count > 1").select(F.col(k).alias(again))
+    once = rows.join(twice, F.col(k) == F.col(again), "left_anti")
+    more = rows.join(twice, F.col(k) == F.col(again), "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(k).orderBy(F.lit(1)))).filter(F.col(nth) == 1)
     return once.drop(k).unionByName(more.drop(k, nth))
 
 

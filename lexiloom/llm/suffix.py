@@ -84,7 +84,8 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, i
     key = ids.astype(np.int64)
     for j in range(1, h):
         key <<= bits
-        key[: n - j] |= ids[j:]
+        if j < n:
+            key[: n - j] |= ids[j:]
     order = np.argsort(key, kind="stable")
     key = key[order]
     start = np.concatenate([[True], key[1:] != key[:-1]])
@@ -363,10 +364,10 @@ def without_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """docs without the repeated passages; rows of which only white space is left go, others that aren't cut stay as they are."""
     spans = repeated_spans(docs, p)
     k = fresh(docs, "key")
-    s, e = fresh(docs, "starts"), fresh(docs, "ends")
+    s, e, cut_ = fresh(docs, "starts"), fresh(docs, "ends"), fresh(docs, "cut")
     rows = docs.withColumn(k, F.when(F.col("text").isNotNull(), row_key(F.col("doc_id"), F.col("text"))))
-    spans = spans.select(F.col("key").alias("_cut"), F.col("starts").alias(s), F.col("ends").alias(e))
-    rows = rows.join(spans, F.col(k) == F.col("_cut"), "left").drop("_cut", k)
+    spans = spans.select(F.col("key").alias(cut_), F.col("starts").alias(s), F.col("ends").alias(e))
+    rows = rows.join(spans, F.col(k) == F.col(cut_), "left").drop(cut_, k)
 
     raw = F.col("text").cast("binary")
     # what lies between the spans; they begin and end with words, so that each piece is text

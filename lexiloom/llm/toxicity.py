@@ -44,7 +44,7 @@ class Params:
     level: int = 6
     min_share: float = 0.01
     min_lift: float = 20.0
-    false_alarm: float = 0.001
+    false_alarm: float = 0.0015
     seed: int = 9
 
 
@@ -94,11 +94,11 @@ class Scorer(dict):
         return v
 
     def score(self, text: str | None) -> float | None:
-        """Bytes saved in the windows that count, a window of thousands."""
+        """Bytes saved in the distinct windows that count, by thousands of windows; a line that repeats counts once."""
         if text is None:
             return None
         ws = words(text)
-        return sum(map(self.__getitem__, ws)) / (1 + len(ws) / 1000)
+        return sum(map(self.__getitem__, set(ws))) / (1 + len(ws) / 1000)
 
 
 def _apart(bags: list[set[bytes]], ordinary: Counter, n_ordinary: int) -> list[int]:
