@@ -6,8 +6,8 @@ frequent last, where references are cheapest. The toxic compressor has the ordin
 what is peculiar to toxic text makes the lengths differ. A window is one word, tiled to a fixed width so that the
 frame's overhead doesn't hide the difference; longer windows were tried and held 1 to 2 % of the clean documents for
 toxic, as the parser's choices differ by more bytes than an insult saves. A window counts if the toxic dictionary
-covers it whole and saves bytes on it; both thresholds come from the training segments, the document's from held-out
-labelled rows at a given false-alarm rate.
+covers it whole and saves bytes on it; the first threshold comes from the training segments, the second, like the
+segments' least frequency, from held-out labelled rows, and so does the document's, at a given false-alarm rate.
 
 Every document is scored over its whole text. A null text has a null score and isn't toxic; an empty one scores 0.
 Without labelled rows of both kinds, nothing is toxic. Rows that repeat are scored alike; a null id is kept as it is;
@@ -36,13 +36,13 @@ _WORD = re.compile(rb"[^\x00-\x20!\"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-]+")
 @dataclass(frozen=True)
 class Params:
     """train_docs: most labelled rows of each class that the fit uses, half of them to calibrate.
-    ordinary_bytes: size of the ordinary dictionary. window: bytes to which a word is tiled. min_share: share of the toxic documents that a segment must occur in. min_lift: how many times as frequent it must be in them. false_alarm: share of the clean held-out rows above the threshold."""
+    ordinary_bytes: size of the ordinary dictionary. window: bytes to which a word is tiled. min_share: shares of the toxic documents that a segment must occur in, of which held-out rows choose. min_lift: how many times as frequent it must be in them. false_alarm: share of the clean held-out rows above the threshold."""
 
     train_docs: int = 4000
     ordinary_bytes: int = 8192
     window: int = 48
     level: int = 6
-    min_share: float = 0.01
+    min_share: tuple[float, ...] = (0.01, 0.04, 0.16)
     min_lift: float = 20.0
     false_alarm: float = 0.0015
     seed: int = 9
@@ -125,28 +125,34 @@ def fit(toxic: list[str], clean: list[str], p: Params = Params()) -> Model | Non
     ordinary = Counter(w for b in plain for w in b)
     keep = _apart(bags, ordinary, len(plain))
     df = Counter(w for i in keep for w in bags[i])
-    marks = [w for w, n in df.items() if len(w) >= 3 and n >= max(4, p.min_share * len(keep)) and n / len(keep) >= p.min_lift * (ordinary[w] + 0.5) / len(plain)]
     samples = [b" " + b" ".join(ws[i : i + 40]) + b" " for t in clean[::2] for ws in [words(t)] for i in range(0, len(ws), 40)]
     samples = [s for s in samples[:: max(1, len(samples) // 20_000)] if len(s) > 8]
     try:
         base = zstandard.train_dictionary(2 * p.ordinary_bytes, samples).as_bytes()[-p.ordinary_bytes :]
     except zstandard.ZstdError:  # too few samples for the trainer
         base = b"".join(samples)[-p.ordinary_bytes :]
-    marks.sort(key=lambda w: (df[w], w))
-    while marks:
-        content = b" " + b"  ".join(marks) + b" "
-        s = Scorer(Model(base, content, 1 << 30, 0, 0.0, p))
-        got = {w: s.lengths(w) for w in marks}
-        if all(a - b >= 2 for a, b in got.values()):
-            break
-        marks = [w for w in marks if got[w][0] - got[w][1] >= 2]
-    if not marks:
-        return None
-    m = Model(base, content, max(b for _, b in got.values()), min(a - b for a, b in got.values()), 0.0, p)
-    s = Scorer(m)
-    held = np.sort([s.score(t) for t in clean[1::2]])
-    above = held[min(len(held) - 1, int(np.ceil((1 - p.false_alarm) * len(held))) - 1)]
-    return Model(base, content, m.longest, m.least_saved, float(above), p)
+    best: tuple[float, Model] | None = None
+    for share in p.min_share:
+        marks = [w for w, n in df.items() if len(w) >= 3 and n >= max(4, share * len(keep)) and n / len(keep) >= p.min_lift * (ordinary[w] + 0.5) / len(plain)]
+        marks.sort(key=lambda w: (df[w], w))
+        while marks:
+            content = b" " + b"  ".join(marks) + b" "
+            s = Scorer(Model(base, content, 1 << 30, 0, 0.0, p))
+            got = {w: s.lengths(w) for w in marks}
+            if all(a - b >= 2 for a, b in got.values()):
+                break
+            marks = [w for w in marks if got[w][0] - got[w][1] >= 2]
+        if not marks:
+            continue
+        # what the fit hasn't seen tells how much a window must save, and which share is best
+        for least in range(2, 5):
+            s = Scorer(Model(base, content, max(b for _, b in got.values()), least, 0.0, p))
+            held, caught = (np.sort([s.score(t) for t in x[1::2]]) for x in (clean, toxic))
+            above = held[max(0, int(np.ceil((1 - p.false_alarm) * len(held))) - 1)]
+            recall = float((caught > above).mean())
+            if best is None or recall > best[0]:
+                best = recall, Model(base, content, s.m.longest, least, float(above), p)
+    return best[1] if best else None
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | None:
