@@ -31,8 +31,12 @@ def normalize(c: Column | str) -> Column:
 
 def trimmed_length(c: Column | str) -> Column:
     """Bytes of the collapsed text, blanks counted twice."""
-    x = collapse_whitespace(c)
-    return F.octet_length(x) + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    return collapsed_length(collapse_whitespace(c))
+
+
+def collapsed_length(c: Column | str) -> Column:
+    """trimmed_length of a text that is collapsed already. The lambda keeps its expression from being copied."""
+    return F.transform(F.array(_col(c)), lambda x: F.octet_length(x) + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))))[0]
 
 
 def n_fields(c: Column | str) -> Column:

@@ -105,7 +105,9 @@ def q_catalog_len(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_exact_match(spark: SparkSession, d: str) -> DataFrame:
-    return flat(M.nested(M.exact(literals(spark, d), catalog(spark, d))).withColumn("type", F.lit("")).join(literals(spark, d), "lit_id"))
+    lit = literals(spark, d)
+    hit = M.nested(M.exact(lit.select("norm").distinct().withColumn("lit_id", F.col("norm")), catalog(spark, d)))
+    return flat(lit.join(hit.withColumnRenamed("lit_id", "norm"), "norm").withColumn("type", F.lit("")))
 
 
 def q_pattern_match(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +170,7 @@ def q_path_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_markup_text(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).withColumn("literal", X.collapse_whitespace("value")).filter(X.trimmed_length("literal") >= MIN).select("key", "literal")
+    return nodes(spark, d).withColumn("literal", X.collapse_whitespace("value")).filter(X.collapsed_length("literal") >= MIN).select("key", "literal")
 
 
 def q_extract_literals(spark: SparkSession, d: str) -> DataFrame:

@@ -33,5 +33,5 @@ def raw_literals(files: DataFrame, marker: str = MARKER) -> DataFrame:
 def extract(files: DataFrame, min_length: int = 8, marker: str = MARKER) -> DataFrame:
     """file, line, column, kind, literal, norm, lit_id, error: collapsed literals that are long enough, and files' errors."""
     out = raw_literals(files, marker).withColumn("literal", X.collapse_whitespace("raw")).withColumn("norm", X.lower_each("literal"))
-    out = out.filter(F.col("error").isNotNull() | (X.trimmed_length("literal") >= min_length) & (F.col("norm") != ""))
+    out = out.filter(F.col("error").isNotNull() | (X.collapsed_length("literal") >= min_length) & (F.col("norm") != ""))
     return out.select("file", "line", "column", "kind", "literal", "norm", F.struct("file", "line", "column").alias("lit_id"), "error")

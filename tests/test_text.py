@@ -38,6 +38,7 @@ def test_patterns():
     assert T.pattern("{a, b} hello") is None and T.pattern("hello") is None
     assert T.templates("{count, plural, =0 {none} one {# invite} other {# {x} invites}}") == ["# invite", "# {x} invites"]
     assert T.templates("plural one {x") == ["plural one {x"]
+    assert T.pattern("Hello, {name}")[2] == "hello" and T.pattern("{n}items left# now")[2] == "now" and T.pattern("{n}items")[2] is None and T.pattern("ab_cde {x}")[2] == "cde"
     assert T.pattern("item {open # one")[0] == r"\Aitem \{open [0-9]+ one\z"
 
 
