@@ -88,7 +88,7 @@ class Scorer(dict):
         if any(x[i : i + 4] in self.grams for i in range(len(x) - 3)):
             a, b = self.lengths(w)
             v = a - b if b <= self.m.longest and a - b >= self.m.least_saved else 0
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[w] = v
         return v
