@@ -136,7 +136,8 @@ def fit(toxic: list[str], clean: list[str], p: Params = Params()) -> Model | Non
         marks = [w for w, n in df.items() if len(w) >= 3 and n >= max(4, share * len(keep)) and n / len(keep) >= p.min_lift * (ordinary[w] + 0.5) / len(plain)]
         marks.sort(key=lambda w: (df[w], w))
         while marks:
-            content = b" " + b"  ".join(marks) + b" "
+            # the compressor doesn't index a dictionary's last 8 bytes, where the most frequent segment is
+            content = b" " + b"  ".join(marks) + b" " * 16
             s = Scorer(Model(base, content, 1 << 30, 0, 0.0, p))
             got = {w: s.lengths(w) for w in marks}
             if all(a - b >= 2 for a, b in got.values()):
