@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     to = spark.conf.get("spark.checkpoint.dir", None)
     if not to:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         to = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set("spark.checkpoint.dir", to)

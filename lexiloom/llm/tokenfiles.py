@@ -32,7 +32,11 @@ from .sentencepieces import Params, encoder
 
 
 def _local(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path.removeprefix("file:")
+    """Files that are mapped need a folder that is mounted, on all executors alike."""
+    path = path[7:] if path.startswith("file://") else path.removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"{path} isn't a mounted folder")
+    return path
 
 
 class _File:
