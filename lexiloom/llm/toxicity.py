@@ -9,7 +9,8 @@ toxic, as the parser's choices differ by more bytes than an insult saves. A wind
 covers it whole and saves bytes on it; the first threshold comes from the training segments, the second, like the
 segments' least frequency, from held-out labelled rows, and so does the document's, at a given false-alarm rate.
 
-Every document is scored over its whole text. A null text has a null score and isn't toxic; an empty one scores 0.
+Every document is scored over its whole text, as its worst stretch of bounded length: what else it holds, and how long
+it is, can't lower its score. A null text has a null score and isn't toxic; an empty one scores 0.
 Without labelled rows of both kinds, nothing is toxic. Rows that repeat are scored alike; a null id is kept as it is;
 columns other than doc_id and text are neither read nor changed.
 """
@@ -36,7 +37,7 @@ _WORD = re.compile(rb"[^\x00-\x20!\"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-]+")
 @dataclass(frozen=True)
 class Params:
     """train_docs: most labelled rows of each class that the fit uses, half of them to calibrate.
-    ordinary_bytes: size of the ordinary dictionary. window: bytes to which a word is tiled. min_share: shares of the toxic documents that a segment must occur in, of which held-out rows choose. min_lift: how many times as frequent it must be in them. false_alarm: share of the clean held-out rows above the threshold."""
+    ordinary_bytes: size of the ordinary dictionary. window: bytes to which a word is tiled. min_share: shares of the toxic documents that a segment must occur in, of which held-out rows choose. min_lift: how many times as frequent it must be in them. false_alarm: share of the clean held-out rows above the threshold. stretch: most successive words that are scored together."""
 
     train_docs: int = 4000
     ordinary_bytes: int = 8192
@@ -45,6 +46,7 @@ class Params:
     min_share: tuple[float, ...] = (0.01, 0.04, 0.16)
     min_lift: float = 20.0
     false_alarm: float = 0.0015
+    stretch: int = 400
     seed: int = 9
 
 
@@ -94,11 +96,29 @@ class Scorer(dict):
         return v
 
     def score(self, text: str | None) -> float | None:
-        """Bytes saved in the distinct windows that count, by thousands of windows; a line that repeats counts once."""
+        """Bytes saved in a stretch's distinct windows that count, by thousands of its windows (a line that repeats there counts once); the most of all stretches."""
         if text is None:
             return None
         ws = words(text)
-        return sum(map(self.__getitem__, set(ws))) / (1 + len(ws) / 1000)
+        most = self.m.params.stretch
+        saved = {w: v for w in set(ws) if (v := self[w])}
+        if len(ws) <= most or not saved:
+            return sum(saved.values()) / (1 + len(ws) / 1000)
+        at = [i for i, w in enumerate(ws) if w in saved]
+        inside: Counter = Counter()
+        lo = now = best = 0
+        for i in at:
+            if not inside[ws[i]]:
+                now += saved[ws[i]]
+            inside[ws[i]] += 1
+            while at[lo] <= i - most:
+                w = ws[at[lo]]
+                inside[w] -= 1
+                if not inside[w]:
+                    now -= saved[w]
+                lo += 1
+            best = max(best, now)
+        return best / (1 + most / 1000)
 
 
 def _apart(bags: list[set[bytes]], ordinary: Counter, n_ordinary: int) -> list[int]:
