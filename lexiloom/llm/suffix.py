@@ -201,7 +201,10 @@ def repeats(data: np.ndarray, at: np.ndarray, place: np.ndarray, known: list[np.
 
 
 def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Two runs (hash, id, key, start, end), each sorted by hash without equal ones, as one; and what came later of the equal ones."""
+    """Two runs (hash, id, key, start, end), each sorted by hash without equal ones, as one; and what came later of the equal ones.
+
+    The same place of the same document, from copies of its row in two shards, is one window and not late.
+    """
     i = np.searchsorted(a[0], b[0])
     hit = np.zeros(len(b[0]), bool)
     inside = i < len(a[0])
@@ -209,7 +212,8 @@ def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[tuple[
     ia, ib = i[hit], np.flatnonzero(hit)
     x, y = [c[ia] for c in a[1:4]], [c[ib] for c in b[1:4]]
     earlier = (y[0] < x[0]) | (y[0] == x[0]) & ((y[1] < x[1]) | (y[1] == x[1]) & (y[2] < x[2]))
-    late = tuple(np.where(earlier, c[ia], d[ib]) for c, d in zip(a, b))
+    apart = (x[0] != y[0]) | (x[1] != y[1]) | (x[2] != y[2])
+    late = tuple(np.where(earlier, c[ia], d[ib])[apart] for c, d in zip(a, b))
     keep = list(a)
     for k in range(1, 5):
         keep[k] = keep[k].copy()
@@ -279,7 +283,7 @@ def repeated_spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
         seen: set[int] = set()
         for b, _, _ in pieces(it, "text", p.shard_bytes):
             keys = b.column(0).to_pylist()
-            fresh_rows = [k not in seen and not seen.add(k) for k in keys]  # rows that repeat are one document
+            fresh_rows = [k not in seen and not seen.add(k) for k in keys]  # rows that repeat are one document; merged() tells those of other tasks
             b = b.filter(pa.array(fresh_rows))
             data, at = binary_parts(b.column(2))
             key = b.column(0).to_numpy()

@@ -176,6 +176,32 @@ def test_repeats_odd_rows(spark):
     assert suffix.suffix_repeats(df.filter("false")).count() == 0 and suffix.without_repeats(df.filter("false")).count() == 0
 
 
+def test_repeated_rows_in_several_files(spark, tmp_path):
+    """Copies of a row that different tasks read are one document still."""
+    w = words(200, 3)
+    rows = [(1, " ".join(w[:80])), (2, " ".join(w[60:130])), (3, " ".join(w[100:200])), (None, " ".join(w[:70])), (4, " ".join(words(60, 4)))]
+    one = docs(spark, rows)
+    for _ in range(3):
+        one.coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    many = spark.read.parquet(str(tmp_path / "d"))
+    p = suffix.Params(min_words=20)
+    got = collections.defaultdict(list)
+    for r in suffix.suffix_repeats(many, p).orderBy("start").collect():
+        got[r.doc_id].append((r.start, r.end))
+    assert many.rdd.getNumPartitions() > 1 and dict(got) == brute_repeats(rows, 20)
+    kept = collections.Counter((r.doc_id, r.text) for r in suffix.without_repeats(one, p).collect())
+    assert kept[1, rows[0][1]] == kept[4, rows[4][1]] == 1 and len(kept) == 4
+    assert collections.Counter((r.doc_id, r.text) for r in suffix.without_repeats(many, p).collect()) == {k: 3 * n for k, n in kept.items()}
+
+
+def test_merged_tells_copies_from_repeats():
+    run = lambda x, key: tuple(np.array(v, t) for v, t in zip(([x], [7], [key], [0], [9]), (np.uint64, np.int64, np.int64, np.int32, np.int32)))
+    both, late = suffix.merged(run(5, 1), run(5, 1))
+    assert len(late[0]) == 0 and [c.tolist() for c in both] == [[5], [7], [1], [0], [9]]
+    both, late = suffix.merged(run(5, 2), run(5, 1))
+    assert late[2].tolist() == [2] and both[2].tolist() == [1]
+
+
 def cosine(a, b):
     return float(a @ b / np.sqrt((a @ a) * (b @ b)))
 
