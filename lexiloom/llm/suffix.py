@@ -40,6 +40,8 @@ class Params:
 
 
 _LAST = np.int64(2**63 - 1)
+#: Low bits of a hash that give way to its place in a stretch of at most 2**_PLACE_BITS.
+_PLACE_BITS = 24
 
 
 class Grams:
@@ -70,10 +72,16 @@ def anchors(g: Grams, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x = g.of(np.arange(n - k + 1), k)
-    least = window_min((x >> np.uint64(24) << np.uint64(24)) | np.arange(len(x), dtype=np.uint64), size - k + 1)
+    w, bits = size - k + 1, np.uint64(_PLACE_BITS)
+    least = np.empty(len(x) - w + 1, np.int64)
+    step = 2**_PLACE_BITS - w + 1
+    for lo in range(0, len(least), step):  # stretches overlap, so that each window lies in one
+        part = x[lo : lo + step + w - 1]
+        part = window_min((part >> bits << bits) | np.arange(len(part), dtype=np.uint64), w)
+        least[lo : lo + len(part)] = (part & np.uint64(2**_PLACE_BITS - 1)).astype(np.int64) + lo
     count = np.diff(first)
     whole = ranges(first[:-1][count >= size], count[count >= size] - size + 1)
-    return whole, (least[whole] & np.uint64(2**24 - 1)).astype(np.int64)
+    return whole, least[whole]
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:

@@ -202,6 +202,18 @@ def test_merged_tells_copies_from_repeats():
     assert late[2].tolist() == [2] and both[2].tolist() == [1]
 
 
+@pytest.mark.parametrize("size", [7, 50])
+def test_anchors_of_texts_longer_than_a_stretch(monkeypatch, size):
+    """Every window's anchor lies in it and is its least run, also beyond the places that fit into the low bits."""
+    monkeypatch.setattr(suffix, "_PLACE_BITS", 6)
+    g = suffix.Grams(common.mix(np.random.default_rng(7).integers(0, 2**40, 1000).astype(np.uint64)))
+    whole, at = suffix.anchors(g, np.array([0, 300, 310, 1000]), size)
+    k = size // 2 + 1
+    x = g.of(np.arange(1000 - k + 1), k)
+    assert whole.tolist() == [i for a, z in ((0, 300), (300, 310), (310, 1000)) for i in range(a, z - size + 1)]
+    assert at.tolist() == [i + int(np.argmin(x[i : i + size - k + 1])) for i in whole]
+
+
 def cosine(a, b):
     return float(a @ b / np.sqrt((a @ a) * (b @ b)))
 
