@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fetched(df: DataFrame, row_bytes: int, most: int = 256 << 20) -> list[Row]:
+    """The rows of a small df, of about so many bytes each; an error where they'd take more than the driver is to hold."""
+    limit = most // row_bytes
+    got = df.limit(limit + 1).collect()
+    if len(got) > limit:
+        raise MemoryError(f"more than {limit} rows, {most} bytes, for the driver")
+    return got
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -170,6 +180,17 @@ def ragged(kind: pa.DataType, flat: np.ndarray, at: np.ndarray, null: np.ndarray
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, kind), mask=None if null is None else pa.array(null))
 
 
+def tidy() -> None:
+    """At the end of a task: gives memory back that the worker, which Spark keeps for later tasks, has freed."""
+    for k in (0, 1):
+        _POW[k] = np.ones(1, np.uint64)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the least node of each connected component of the edges (pairs of 64-bit integers).
 

@@ -1,4 +1,4 @@
-"""What the operators on embeddings share: reading vectors, blocks of them."""
+"""What the operators on embeddings share: reading vectors, matrices of them."""
 
 from __future__ import annotations
 
@@ -10,7 +10,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_parts
+from .common import binary_parts, ranges
+
+
+def packed_rows(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    x = np.ascontiguousarray(x)
+    at = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(x)])
+
+
+def usable(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of lists of floats: which rows are neither null nor empty and all finite; all values; where each row's begin."""
+    at = col.offsets.to_numpy()
+    x = col.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).astype(np.float32, copy=False)  # nulls are NaN
+    at = at - at[0]
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+    return ~col.is_null().to_numpy(zero_copy_only=False) & (np.diff(at) > 0) & (bad[at[1:]] == bad[at[:-1]]), x, at
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -19,14 +35,13 @@ def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for b in it:
-            rows = b.column(1).to_pylist()
-            x = [None if v is None else np.array([np.nan if e is None else e for e in v], np.float32) for v in rows]
-            ok = np.array([v is not None and len(v) > 0 and bool(np.isfinite(v).all()) for v in x], bool)
-            ids = b.column(0).filter(pa.array(ok))
-            x = [v for v, o in zip(x, ok) if o]
-            cols = [ids, pa.array(np.arange(row, row + len(x))), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([len(v) for v in x], pa.int32())]
-            row += len(x)
-            yield pa.RecordBatch.from_arrays(cols, ["id", "row", "vec", "dim"])
+            ok, x, at = usable(b.column(1))
+            n = np.diff(at)[ok]
+            flat = x if ok.all() else x[ranges(at[:-1][ok], n)]
+            ends = np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int32)
+            vec = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array(np.arange(row, row + len(n))), vec, pa.array(n, pa.int32())], ["id", "row", "vec", "dim"])
+            row += len(n)
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
     return src.mapInArrow(run, "id long, row long, vec binary, dim int")

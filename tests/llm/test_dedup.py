@@ -253,7 +253,8 @@ def test_neighbours_against_all_pairs(spark):
     x[10] = x[11] = x[12]
     rows = [(i + 100, v.tolist()) for i, v in enumerate(x)] + BAD + [(None, x[10].tolist())]
     got = collections.defaultdict(list)
-    for r in blockjoin.neighbours(embeddings(spark, rows), p=blockjoin.Params(k=5, block=64)).orderBy("rank").collect():
+    p = blockjoin.Params(k=5, block=16, rows=50, chunk_bytes=6_000)  # some chunks
+    for r in blockjoin.neighbours(embeddings(spark, rows), p=p).orderBy("rank").collect():
         got[r.vec_id].append((r.neighbour_id, r.distance))
     own = [(i, np.array(v)) for i, v in rows if v and len(v) == 8]
     for n, (i, v) in enumerate(own):
@@ -262,3 +263,10 @@ def test_neighbours_against_all_pairs(spark):
     assert blockjoin.neighbours(embeddings(spark, [])).count() == 0
     one = blockjoin.neighbours(embeddings(spark, [(1, [1.0, 2.0]), (1, [1.0, 2.0])])).collect()
     assert [tuple(r) for r in one] == [(1, 1, 1, 0.0)] * 2
+    some = blockjoin.neighbours(embeddings(spark, rows), p=blockjoin.Params(k=5), where="id % 100 = 0").collect()
+    assert {r.vec_id for r in some} == {100, 200, 300}
+    assert all((r.neighbour_id, r.distance) == got[r.vec_id][r.rank - 1] for r in some) and len(some) == 15
+    top = 2**63 - 1  # no id stands for null
+    ends = blockjoin.neighbours(embeddings(spark, [(top, [1.0, 2.0]), (None, [1.0, 2.0]), (0, [1.0, 3.0])])).collect()
+    assert sorted((r.vec_id or -1, r.rank, r.neighbour_id) for r in ends if r.vec_id != 0) == [(-1, 1, top), (-1, 2, 0), (top, 1, None), (top, 2, 0)]
+    assert [(r.rank, r.neighbour_id) for r in ends if r.vec_id == 0] == [(1, top), (2, None)]
