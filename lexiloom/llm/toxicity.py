@@ -52,7 +52,7 @@ class Params:
     successive words that are scored together."""
 
     train_docs: int = 4000
-    train_bytes: int = 24 << 20
+    train_bytes: int = 16 << 20
     ordinary_bytes: int = 8192
     toxic_bytes: int = 32768
     sample_words: int = 12
@@ -231,31 +231,50 @@ def _worst(a: list[int], z: list[int], name: list[int], saved: list[int], most:
     return best
 
 
-def _apart(text: np.ndarray, spot: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which documents aren't near copies of an earlier one (by their words' hashes in 2048 slots); copies would count a run many times."""
-    n = len(first) - 1
-    x = np.zeros((n, 2048), np.float32)
-    h = span_hashes(text, spot[:-1], spot[1:])
-    x[np.repeat(np.arange(n), np.diff(first)), (h % np.uint64(2048)).astype(np.int64)] = 1
-    common = x.mean(0) > 0.1
-    x[:, common] = 0
-    size = x.sum(1)
+def _slices(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts, joined by the megabyte or so; the driver has room for little more at once."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield joined(part)
+            part, size = [], 0
+    if part:
+        yield joined(part)
+
+
+def _apart(texts: list[str]) -> list[str]:
+    """The documents that aren't near copies of an earlier one (by their words' hashes in 2048 slots); copies would count a run many times."""
+    x, done = np.zeros((len(texts), 2048), bool), 0
+    for data, at in _slices(texts):
+        text, spot, first = normal(data, at)
+        h = span_hashes(text, spot[:-1], spot[1:])
+        x[done + np.repeat(np.arange(len(first) - 1), np.diff(first)), (h % np.uint64(2048)).astype(np.int64)] = True
+        done += len(first) - 1
+    rare = np.flatnonzero(x.mean(0) <= 0.1)
+    size = x[:, rare].sum(1)
     keep: list[int] = []
-    rows = np.zeros_like(x)
-    for i in range(n):
-        got = rows[: len(keep)] @ x[i]
-        if not len(keep) or not np.any((got > 0.5 * (size[keep] + size[i] - got)) & (size[i] > 0)):
-            rows[len(keep)] = x[i]
+    rows = np.zeros((len(texts), len(rare)), np.float32)
+    for i in range(len(texts)):
+        own = x[i, rare].astype(np.float32)
+        got = rows[: len(keep)] @ own
+        if not keep or not np.any((got > 0.5 * (size[keep] + size[i] - got)) & (size[i] > 0)):
+            rows[len(keep)] = own
             keep.append(i)
-    return np.array(keep, np.int64)
+    return [texts[i] for i in keep]
 
 
-def _trained(text: np.ndarray, spot: np.ndarray, first: np.ndarray, size: int, p: Params) -> bytes:
-    """What zstandard's trainer makes of the windows of a text; of too few for it, their last bytes."""
-    begin = np.concatenate([np.arange(a, b, p.sample_words) for a, b in zip(first[:-1], first[1:])] or [np.zeros(0, np.int64)]).astype(np.int64)
-    stop = np.minimum(begin + p.sample_words, first[np.searchsorted(first, begin, "right")])
-    raw = text.tobytes()
-    samples = [raw[s:e] for s, e in zip(spot[begin].tolist(), (spot[stop] + 1).tolist()) if e - s > 8]
+def _trained(texts: list[str], size: int, p: Params) -> bytes:
+    """What zstandard's trainer makes of the windows of the texts; of too few for it, their last bytes."""
+    samples: list[bytes] = []
+    for data, at in _slices(texts):
+        text, spot, first = normal(data, at)
+        begin = np.concatenate([np.arange(a, b, p.sample_words) for a, b in zip(first[:-1], first[1:])]).astype(np.int64)
+        stop = np.minimum(begin + p.sample_words, first[np.searchsorted(first, begin, "right")])
+        raw = text.tobytes()
+        samples += [raw[s:e] for s, e in zip(spot[begin].tolist(), (spot[stop] + 1).tolist()) if e - s > 8]
     while size >= 1024:
         try:
             got = zstandard.train_dictionary(size, samples, k=p.segment, d=p.min_match, f=20, accel=1, split_point=1.0, steps=1)
@@ -268,12 +287,15 @@ def _trained(text: np.ndarray, spot: np.ndarray, first: np.ndarray, size: int, p
     return b"".join(samples)[-size:]
 
 
-def _frequency(g: Grams, text: np.ndarray, spot: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+def _frequency(g: Grams, texts: list[str], k: int) -> np.ndarray:
     """In how many documents each run occurs."""
-    at, which = g.places(grams(text, k))
-    doc = np.searchsorted(spot[first], at, "right") - 1
-    pair = np.unique(doc * len(g.known) + which)
-    return np.bincount(pair % max(1, len(g.known)), minlength=len(g.known))
+    out = np.zeros(len(g.known), np.int64)
+    for data, at in _slices(texts):
+        text, spot, first = normal(data, at)
+        place, which = g.places(grams(text, k))
+        pair = np.unique((np.searchsorted(spot[first], place, "right") - 1) * len(g.known) + which)
+        out += np.bincount(pair % max(1, len(g.known)), minlength=len(g.known))
+    return out
 
 
 def _evidence(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -291,17 +313,15 @@ def fit(toxic: list[str], clean: list[str], p: Params = Params()) -> Model | Non
     """None if either side is too small to say anything."""
     if len(toxic) < 4 or len(clean) < 4:
         return None
-    plain, fitted = normal(*joined(clean[::2])), [t for i, t in enumerate(toxic) if i % 4]
-    keep = _apart(*normal(*joined(fitted)))
-    bad = normal(*joined([fitted[i] for i in keep]))
-    base, marks = _trained(*plain, p.ordinary_bytes, p), _trained(*bad, p.toxic_bytes, p)
+    plain, bad = clean[::2], _apart([t for i, t in enumerate(toxic) if i % 4])
+    base, marks = _trained(plain, p.ordinary_bytes, p), _trained(bad, p.toxic_bytes, p)
     x = np.frombuffer(marks, np.uint8)
     of = grams(x, p.min_match)
     g = Grams(of)
-    here, there = _frequency(g, *bad, p.min_match), _frequency(g, *plain, p.min_match)
-    n, m = len(keep), len(plain[2]) - 1
+    here, there = _frequency(g, bad, p.min_match), _frequency(g, plain, p.min_match)
+    n, m = len(bad), len(plain)
     at = np.searchsorted(g.known, of)
-    held = [joined(clean[1::2]), joined(toxic[::4])]
+    held = [clean[1::2], toxic[::4]]
     found: list[tuple[np.ndarray, Tier]] = []
     strong = _evidence(here, there, n, m)
     for least_strong, lift in product(p.evidence, p.min_lift):
@@ -315,9 +335,9 @@ def fit(toxic: list[str], clean: list[str], p: Params = Params()) -> Model | Non
             continue
         # runs are parted by a byte that no text has
         s = Savings(base, Tier(b"\x0f".join(runs), g.known[fine], 1, 0.5), p)
-        windows = [s.windows(*t) for t in held]
+        windows = [[s.windows(*t) for t in _slices(x)] for x in held]
         for least in range(1, 4):
-            clear, caught = (s.told(*w, least) for w in windows)
+            clear, caught = (np.concatenate([s.told(*w, least) for w in x]) for x in windows)
             # half of the false alarms for either tier; all scores but 0 are above 0.5
             above = max(0.5, float(np.sort(clear)[max(0, int(np.ceil((1 - p.false_alarm / 2) * len(clear))) - 1)]))
             found.append((caught > above, replace(s.tier, least_saved=least, threshold=above)))
