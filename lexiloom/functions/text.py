@@ -76,12 +76,6 @@ def word_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / n)
 
 
-def edit_ratio(a: Column, b: Column) -> Column:
-    """1 less the edit distance by the longer length; 1 for two empty texts."""
-    n = F.greatest(F.length(a), F.length(b))
-    return F.when(n == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b).cast("double") / n)
-
-
 def path_segments(path: Column | str) -> Column:
     return F.split(_col(path), "/")
 

@@ -16,16 +16,13 @@ from ..operators import findings as O
 from ..operators import match as M
 from ..sources import catalog as C
 from ..sources import literals as L
+from ..sources.tables import table
 
 MIN = 8
 NODE = ">([^<>]+)<"
 SMALL = "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """file, line, column, raw."""
     t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
@@ -105,9 +102,8 @@ def q_catalog_len(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_exact_match(spark: SparkSession, d: str) -> DataFrame:
-    lit = literals(spark, d)
-    hit = M.nested(M.exact(lit.select("norm").distinct().withColumn("lit_id", F.col("norm")), catalog(spark, d)))
-    return flat(lit.join(hit.withColumnRenamed("lit_id", "norm"), "norm").withColumn("type", F.lit("")))
+    lit = literals(spark, d).withColumn("lit_id", F.struct("file", "line", "literal"))
+    return flat(M.exact(lit, catalog(spark, d)).select("lit_id.*", F.lit("").alias("type"), F.array("match").alias("matches")))
 
 
 def q_pattern_match(spark: SparkSession, d: str) -> DataFrame:
@@ -145,15 +141,15 @@ def q_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def q_test_mode(spark: SparkSession, d: str) -> DataFrame:
     """Lines as they are and in capitals, against the nodes: only the latter differ from the value they match."""
-    t = lines(spark, d)
-    both = t.union(t.select(F.concat("file", F.lit("/caps")), "line", "column", F.translate("raw", SMALL, SMALL.upper())))
+    caps = F.struct(F.concat("file", F.lit("/caps")).alias("file"), F.translate("raw", SMALL, SMALL.upper()).alias("raw"))
+    both = lines(spark, d).select("line", "column", F.explode(F.array(F.struct("file", "raw"), caps)).alias("e")).select("e.file", "line", "column", "e.raw")
     cat = catalog(spark, d)
     return flat(O.to_findings(M.cascade(O.select_literals(both, MIN), cat, C.patterns(cat), "test")))
 
 
 def q_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Findings in source mode that aren't findings against the pages' titles alone."""
-    lit, cat = literals(spark, d), catalog(spark, d)
+    lit, cat = literals(spark, d).persist(), catalog(spark, d).persist()  # of two cascades
     now = O.to_findings(M.cascade(lit, cat, C.patterns(cat)))
     titles = cat.filter(F.col("key").endswith(".0"))
     then = O.to_findings(M.cascade(lit, titles, C.patterns(titles)))
@@ -221,13 +217,42 @@ UNION ALL
 SELECT l.file, l.line, 'hardcoded-translation', l.literal, p.key, 'translation-pattern', 100, '{_WHY}'
 FROM {_SIZED} l JOIN pats p ON regexp_full_match(l.norm, p.pattern)"""
 
+#: Distinct texts that are eligible for similarity, their words and lengths; pairs that share a word of 3 bytes.
+_RUN = "list_distinct(regexp_extract_all({0}, '[\\p{{L}}\\p{{Nd}}]+'))"
+_WORDS = f"""
+a AS (SELECT DISTINCT norm AS t, length(norm) AS n, {_RUN.format("norm")} AS w FROM lit WHERE length(norm) >= 24 AND len(string_split(norm, ' ')) >= 5),
+b AS (SELECT DISTINCT norm_value AS t, length(norm_value) AS n, {_RUN.format("norm_value")} AS w FROM cat WHERE length(norm_value) >= 24 AND len(string_split(norm_value, ' ')) >= 5),
+aw AS (SELECT t, n, unnest(w) AS word FROM a), bw AS (SELECT t, n, unnest(w) AS word FROM b),
+cand AS (SELECT DISTINCT aw.t AS a, bw.t AS b FROM aw JOIN bw ON aw.word = bw.word WHERE strlen(aw.word) >= 3 AND least(aw.n, bw.n) / greatest(aw.n, bw.n) >= 0.5)"""
+#: Distances are to count characters, but here they count bytes: as the texts are in small letters, capitals stand for what isn't ASCII.
+_ASCII = "translate({0}, 'áàâäãåæçéèêëíìîïñóòôöõøœúùûüýÿß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6))"
+_TOP3 = f"""
+two AS (
+  SELECT a, b, na, nb, least(na, nb)::DOUBLE / greatest(na, nb) AS ratio, len(list_intersect(wa, wb))::DOUBLE / greatest(len(wa), len(wb)) AS overlap
+  FROM (SELECT c.a, c.b, x.n AS na, y.n AS nb, x.w AS wa, y.w AS wb FROM cand c JOIN a x ON x.t = c.a JOIN b y ON y.t = c.b WHERE c.a <> c.b)
+), three AS (
+  SELECT *, ratio >= 0.65 AND CASE WHEN na > nb THEN contains(a, b) ELSE contains(b, a) END AS inside FROM two
+), four AS (
+  SELECT *, CASE WHEN NOT inside AND overlap >= 0.5 AND ratio >= 0.78 THEN 1 - levenshtein({_ASCII.format("a")}, {_ASCII.format("b")})::DOUBLE / greatest(na, nb) END AS edit
+  FROM three WHERE inside OR overlap >= 0.5
+), five AS (
+  SELECT a, b, floor(overlap * 100 + 0.5)::INTEGER || '% word overlap' AS common,
+    CASE WHEN inside THEN 'contained-substring' WHEN edit >= 0.78 THEN 'edit-similarity' WHEN overlap >= 0.7 THEN 'word-overlap' END AS reason,
+    CASE WHEN inside THEN greatest(overlap, ratio) WHEN edit >= 0.78 THEN edit ELSE overlap END AS score, na, nb FROM four
+), six AS (
+  SELECT five.*, cat.key, floor(score * 100 + 0.5)::INTEGER AS percent,
+    CASE reason WHEN 'contained-substring' THEN CASE WHEN na > nb THEN 'current translation value is contained in the source string; ' ELSE 'source string is contained in the current translation value; ' END
+      WHEN 'edit-similarity' THEN floor(score * 100 + 0.5)::INTEGER || '% edit similarity with ' ELSE '' END || common AS why
+  FROM five JOIN cat ON cat.norm_value = five.b WHERE reason IS NOT NULL
+), top AS (SELECT * FROM six QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, key) <= 3)"""
+
 ORACLE: dict[str, str] = {
     "normalize": f"{_WITH} SELECT file, line, lower({_collapse('raw')}) AS norm FROM raw_lines",
     "trimmed_length": f"{_WITH} SELECT file, line, {_LEN.format('c')} AS n FROM (SELECT *, {_collapse('raw')} AS c FROM raw_lines)",
     "min_length": f"{_WITH} SELECT file, line, literal FROM lit",
     "word_stats": f"""SELECT item_id, length(norm) AS n_chars, len(string_split(norm, ' ')) AS n_fields, len(w) AS n_words, array_to_string(list_sort(w), ' ') AS words,
       length(norm) >= 24 AND len(string_split(norm, ' ')) >= 5 AS eligible
-      FROM (SELECT *, list_distinct(regexp_extract_all(norm, '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM (SELECT item_id, lower({_collapse("text")}) AS norm FROM benchmark))""",
+      FROM (SELECT *, {_RUN.format("norm")} AS w FROM (SELECT item_id, lower({_collapse("text")}) AS norm FROM benchmark))""",
     "flatten_catalog": """SELECT concat('nation/', n_nationkey) AS id, 'name' AS key, n_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey
       UNION ALL SELECT concat('nation/', n_nationkey), 'region.name', r_name FROM nation JOIN region ON n_regionkey = r_regionkey
       UNION ALL SELECT concat('event/', event_id), k, json_extract_string(props, concat('$.', k))
@@ -254,10 +279,12 @@ ORACLE: dict[str, str] = {
       FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)
       WHERE NOT list_contains(string_split(path, '/'), 'en') AND path <> 'x'""",
     "markup_text": f"{_WITH} SELECT key, literal FROM (SELECT key, {_collapse('value')} AS literal FROM nodes) WHERE {_LEN.format('literal')} >= 8",
-    "similar_candidates": f"""{_WITH},
-      a AS (SELECT DISTINCT norm AS t, list_distinct(regexp_extract_all(norm, '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM lit WHERE length(norm) >= 24 AND len(string_split(norm, ' ')) >= 5),
-      b AS (SELECT DISTINCT norm_value AS t, list_distinct(regexp_extract_all(norm_value, '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM cat WHERE length(norm_value) >= 24 AND len(string_split(norm_value, ' ')) >= 5),
-      aw AS (SELECT t, length(t) AS n, unnest(w) AS word FROM a), bw AS (SELECT t, length(t) AS n, unnest(w) AS word FROM b)
-      SELECT a, count(*) AS n, min(b) AS least FROM (
-        SELECT DISTINCT aw.t AS a, bw.t AS b FROM aw JOIN bw ON aw.word = bw.word WHERE strlen(aw.word) >= 3 AND least(aw.n, bw.n) / greatest(aw.n, bw.n) >= 0.5) GROUP BY a""",
+    "similar_candidates": f"""{_WITH}, {_WORDS}
+      SELECT a, count(*) AS n, min(b) AS least FROM cand GROUP BY a""",
+    "similar_top3": f"""{_WITH}, {_WORDS}, {_TOP3}
+      SELECT l.file, l.line, '' AS type, l.literal, t.key, t.reason, t.percent, t.why FROM lit l JOIN top t ON l.norm = t.a""",
+    "cascade_similarity": f"""{_WITH}, {_WORDS}, {_TOP3} {_CASCADE}
+      UNION ALL
+      SELECT l.file, l.line, 'changed-translation-value', l.literal, t.key, t.reason, t.percent, t.why FROM lit l JOIN top t ON l.norm = t.a
+      WHERE l.norm NOT IN (SELECT norm_value FROM cat) AND NOT EXISTS (SELECT 1 FROM pats p WHERE regexp_full_match(l.norm, p.pattern))""",
 }

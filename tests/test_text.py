@@ -38,7 +38,8 @@ def test_patterns():
     assert T.pattern("{a, b} hello") is None and T.pattern("hello") is None
     assert T.templates("{count, plural, =0 {none} one {# invite} other {# {x} invites}}") == ["# invite", "# {x} invites"]
     assert T.templates("plural one {x") == ["plural one {x"]
-    assert T.pattern("Hello, {name}")[2] == "hello" and T.pattern("{n}items left# now")[2] == "now" and T.pattern("{n}items")[2] is None and T.pattern("ab_cde {x}")[2] == "cde"
+    assert T.pattern("Hello, {name}")[2] == "whello" and T.pattern("{n}items left# now")[2] == "wnow" and T.pattern("ab_cde {x}")[2] == "wcde"
+    assert T.pattern("{n}items")[2] == "sems" and T.pattern("items{n}")[2] == "pite" and T.pattern("{a}items{n}")[2] is None and T.pattern("{a}items{n}x")[2] == "sx"
     assert T.pattern("item {open # one")[0] == r"\Aitem \{open [0-9]+ one\z"
 
 
@@ -56,6 +57,17 @@ def test_flatten(spark):
     assert cat.count() == 2 and C.size(cat).first().n == 1
 
 
+def test_flatten_deep_and_many(spark):
+    deep = '{"k": ' * 101 + '"x"' + "}" * 101
+    odd = '{"a\\\\": "{[{", "b\\\"{": {"c": "}"}}'
+    df = spark.createDataFrame([(1, deep), (2, odd), (3, '[{"a": "b"}]'), (4, "3")], "id int, js string")
+    assert C.depth(df, "js") == 101
+    got = sorted((r.id, r.key, r.value) for r in C.flatten_json(df, "js", "id").collect())
+    assert got == [(1, ".".join(["k"] * 101), "x"), (2, "a\\", "{[{"), (2, 'b"{.c', "}")]
+    many = spark.range(600_000).selectExpr("id", "'{\"a\": \"x\", \"b\": {\"c\": \"y\"}}' AS js")  # more leaves than a recursive query may have
+    assert C.flatten_json(many, "js", "id").count() == 1_200_000
+
+
 def test_discover(tmp_path, spark):
     for name in ("src/a.ts", "src/b.go", "node_modules/c.ts", "custom/d.tsx", "src/_x.js", "src/.h/e.js", "src/F.TS", "src/ts"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
