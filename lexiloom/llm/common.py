@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table as table
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd, so that it has an inverse modulo 2**64.
 _P = 0xD6E8FEB86659FD93
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
@@ -38,6 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
     return to
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for what a result is read from until sweep() is called."""
+    _SCRATCH.append(to := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return to
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch folders of this driver; results that haven't been written yet can't be read any more."""
+    while _SCRATCH:
+        remove(spark, _SCRATCH.pop())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared folder, without its lineage."""
     shared_dir(df.sparkSession)
@@ -67,8 +86,10 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def partitions(df: DataFrame) -> int:
-    """How many partitions a shuffle of data in proportion to df should have; at least the session's setting."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    """How many partitions a shuffle of data in proportion to df should have: one for 32 MB of its files, at least the session's setting."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 56 else 0  # of what doesn't come from files, Spark takes the largest number
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // (32 << 20)), 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -158,6 +179,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             part = b.slice(lo, hi - lo)
             yield part, *binary_parts(part.column(part.schema.get_field_index(text)))
             lo = hi
+    tidy()
 
 
 def doc_words(data: np.ndarray, at: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,12 +14,13 @@ with its own permutation. Blocks and slots meet in a join by source and index.
 Without weights given, they are the sources' shares of words raised to temperature. Given weights of sources that have
 no words are left out; sources without a given weight have none. A null source is a source of its own, and so is the
 empty one. Null texts and texts without words have nothing to pack. Rows that repeat are packed as often as they
-occur. A null doc_id stays null. Other columns are ignored. Without any words the result is empty.
+occur. A null doc_id stays null; others have to be numbers. A text of any length is packed, over as many blocks as it
+takes, a slice at a time. Blocks are told apart by their index, so nothing in a draw is tied. Other columns, of whatever
+names, are ignored. Without any words the result is empty.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,22 +30,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, cut, doc_words, mix, pieces, shared_dir, table
+from .common import GOLDEN, cut, doc_words, mix, pieces, scratch, table
 
-#: Most rows of a table that is broadcast; beyond it, both sides are shuffled.
-BROADCAST_ROWS = 500_000
 _BLOCK = "sid long, source string, part long, nth long, n_words int, text binary, doc_ids array<long>, langs array<string>, ends array<int>"
 
 
 @dataclass(frozen=True)
 class Params:
-    """block_words: length of a block. shard_slots: blocks of an output shard. weights: (source, weight) pairs, or None. temperature: see above. tail_tasks: see above."""
+    """block_words: length of a block. shard_slots: blocks of an output shard. weights: (source, weight) pairs, or None. temperature: see above. tail_tasks: see above. broadcast_rows: most rows (one of some 24 bytes for each source and packing task) that are broadcast to number the blocks; with more of them both sides are shuffled, to the same result."""
 
     block_words: int = 1024
     shard_slots: int = 1024
     weights: tuple[tuple[str | None, float], ...] | None = None
     temperature: float = 0.7
     tail_tasks: int = 256
+    broadcast_rows: int = 500_000
     seed: int = 10
 
 
@@ -152,7 +152,7 @@ def packed(docs: DataFrame, p: Params) -> DataFrame:
         if packer and packer.n:
             yield _batch([(now[0], name, now[1], count, *packer.take())])
 
-    to = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    to = scratch(spark, "blocks")
     src.mapInArrow(pack, _BLOCK).write.parquet(f"{to}/nth")
     first = spark.read.schema(_BLOCK).parquet(f"{to}/nth")
     left = first.filter("nth < 0").withColumn("g", F.floor(F.col("part") / p.tail_tasks)).repartition("sid", "g").sortWithinPartitions("sid", "g", "part").drop("g")
@@ -218,7 +218,7 @@ def mixed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     else:
         drawn = spark.createDataFrame([], "shard long, slot long, sid long, epoch long, index long")
     base = n.select(F.col("sid").alias("b_sid"), F.col("part").alias("b_part"), (F.sum("n").over(Window.partitionBy("sid").orderBy("part")) - F.col("n")).alias("base"))
-    if n.count() <= BROADCAST_ROWS:
+    if n.count() <= p.broadcast_rows:
         base = F.broadcast(base)
     blocks = blocks.join(base, (F.col("sid") == F.col("b_sid")) & (F.col("part") == F.col("b_part"))).withColumn("index", F.col("base") + F.col("nth"))
     # both sides grow with the input, whatever the planner takes the slots' size for

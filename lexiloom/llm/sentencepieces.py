@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_parts, pieces, ragged, ranges, span_hashes, table
+from .common import binary_parts, pieces, ragged, ranges, span_hashes, table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _BLANK = "▁".encode()
@@ -111,6 +111,11 @@ class Encoder:
         self.limit = p.cached
         self._clear()
 
+    def forget(self) -> None:
+        """At the end of a task: the worker stays, and what runs in it next has no use for these words."""
+        self._clear()
+        tidy()
+
     def _clear(self) -> None:
         self.seen: dict[int, int] = {}
         self.flat, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
@@ -304,6 +309,7 @@ def encoded(docs: DataFrame, p: Params = Params()) -> DataFrame:
             same = [enc.decode(ids[x:y]) == raw[i:j] for x, y, i, j in zip(tok[:-1], tok[1:], at[:-1], at[1:])]
             cols = [ragged(pa.int32(), c, tok, null) for c in (ids, starts, ends)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(same, pa.bool_(), mask=null)], ["doc_id", "ids", "starts", "ends", "round_trip"])
+        enc.forget()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return src.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>, round_trip boolean")

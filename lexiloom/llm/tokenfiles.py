@@ -76,6 +76,7 @@ def write_tokens(docs: DataFrame, folder: str, p: Params = Params()) -> DataFram
         index.f.write(np.array([n], "<i8").tobytes())
         tokens.close()
         index.close()
+        enc.forget()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = cut(src.mapInArrow(write, "doc_id long, part long, row long, first long, n_tokens long, crc long"))

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import APART, GOLDEN, LOWER, doc_words, pieces, ranges, span_hashes, table, tidy
+from .common import APART, GOLDEN, LOWER, doc_words, pieces, ranges, span_hashes, table
 
 
 @dataclass(frozen=True)
@@ -375,7 +375,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFr
             null = b.column(1).is_null().to_numpy(zero_copy_only=False)
             bad = (score > 1) & ~null if m else np.zeros(len(b), bool)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, mask=null), pa.array(bad)], ["doc_id", "score", "toxic"])
-        tidy()
 
     return src.mapInArrow(run, f"doc_id {kind}, score double, toxic boolean")
 
@@ -391,7 +390,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> D
         for b, data, at in pieces(it, "text"):
             null = b.column(b.schema.get_field_index("text")).is_null().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(null | (s.scores(data, at) <= 1)))
-        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 
