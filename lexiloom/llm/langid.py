@@ -4,16 +4,21 @@ A word (lower case, without punctuation) has its own feature and those of its ru
 each hashed to a bucket. A text's vector is the mean of its features' embeddings; a softmax of a linear map of it
 gives the languages. Embeddings and map are trained together by stochastic gradient descent in numpy, on windows of a
 bounded sample of the rows that name a language. Held-out rows of that sample give the temperature (least negative
-log-likelihood) and the confidence below which a text is rejected, so that the given share of rightly told texts is.
+log-likelihood, with a row of doubt for each language, without which rows that are all told rightly would ask for none)
+and the confidence below which a text is rejected, so that the given share of rightly told texts is; of fewer rows than
+one in that share, the least confident one that is told rightly is still accepted.
 
 As all is linear, a text's scores are the mean of its features' scores; a task computes those of each distinct word
 once. Every text is scored whole. A null text, one without words, or one below the threshold has a null language and
 accepted false; a null text's confidence is null. Rows that repeat are told alike; a null id stays. A language with
-fewer than 8 rows isn't learnt; with none learnt, all is rejected. Other columns are ignored.
+fewer than 8 rows isn't learnt, nor is one beyond the most_langs most frequent ones; with none learnt, all is rejected.
+Of equally likely languages the first by name is told, and a confidence that equals the threshold is accepted. Other
+columns, of whatever names, are ignored. A doc_id has to be a number or null.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,9 +33,15 @@ from .common import APART, GOLDEN, LOWER, doc_words, mix, pieces, ranges, span_h
 
 @dataclass(frozen=True)
 class Params:
-    """train_docs: most rows of a language that the fit uses, a third of them held out. window: words of a training example. rejected: share of the held-out rows told rightly that the threshold rejects."""
-
-    train_docs: int = 240
+    """train_docs: most rows of a language that the fit uses, a third of them held out. train_bytes: most bytes of their
+    texts, of all languages; each has an equal part. most_langs: languages that are learnt. window: words of a training
+    example. epoch_windows: most windows an epoch draws. rejected: share of the held-out rows told rightly that the
+    threshold rejects."""
+
+    train_docs: int = 384
+    train_bytes: int = 32 << 20
+    most_langs: int = 200
+    epoch_windows: int = 8_000
     buckets: int = 1 << 15
     dim: int = 16
     window: int = 24
@@ -144,7 +155,7 @@ def fit(rows: list[tuple[str, str]], p: Params = Params()) -> Model | None:
     # each language as often as any other
     share = Counter(y for _, _, y in windows)
     odds = np.array([1 / share[y] for _, _, y in windows])
-    steps = p.epochs * -(-min(len(windows), 8_000) // p.batch)
+    steps = p.epochs * -(-min(len(windows), p.epoch_windows) // p.batch)
     for step in range(steps):
         pick = [windows[i] for i in rng.choice(len(windows), p.batch, p=odds / odds.sum())]
         spans = [(int(f_at[a]), int(f_at[b])) for a, b, _ in pick]
@@ -168,25 +179,45 @@ def fit(rows: list[tuple[str, str]], p: Params = Params()) -> Model | None:
     y = np.array([k for _, k in held])[count > 0]
     z = means[count > 0] + bias
 
-    def loss(t: float) -> float:
-        v = z / t
-        v = v - v.max(1, keepdims=True)
-        return float((np.log(np.exp(v).sum(1)) - v[np.arange(len(y)), y]).mean())
-
-    best = min(np.geomspace(0.05, 20, 60), key=loss) if len(y) else 1.0
+    best = temperature(z, y) if len(y) else 1.0
     m = Model(langs, m.scores, bias, float(best), 0.0, p)
     told, sure = m.told(means[count > 0])
     right = np.sort(sure[told == y])
     return Model(langs, m.scores, bias, float(best), float(right[int(p.rejected * len(right))]) if len(right) else 1.0, p)
 
 
+def temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """By which the scores z are to be divided, so that the rows' languages y are likeliest; one row in as many as a language has, and two, counts for the others."""
+    n, k = len(y), z.shape[1]
+    doubt = 1 / (np.bincount(y, minlength=k)[y] + 2) if k > 1 else np.zeros(n)
+    want = np.repeat((doubt / max(1, k - 1))[:, None], k, 1)
+    want[np.arange(n), y] = 1 - doubt
+
+    def loss(log_t: float) -> float:
+        v = z / np.exp(log_t)
+        v = v - v.max(1, keepdims=True)
+        return float((np.log(np.exp(v).sum(1)) - (want * v).sum(1)).mean())
+
+    lo, hi = -12.0, 12.0  # convex in the inverse, so there is one least place
+    for _ in range(100):
+        a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+        lo, hi = (lo, b) if loss(a) <= loss(b) else (a, hi)
+    return float(np.exp((lo + hi) / 2))
+
+
 def train(docs: DataFrame, p: Params = Params()) -> Model | None:
-    """Fit on at most train_docs rows of each language, chosen by a hash of the id."""
-    by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id")
-    ids = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang").withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= p.train_docs)
-    # as many ids as there are languages, times train_docs
-    rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r.lang, hash((p.seed, r.doc_id)), r.text))
+    """Fit on at most train_docs rows and the language's part of train_bytes, in the order of a hash of the id."""
+    named = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
+    langs = [r.lang for r in named.groupBy("lang").count().filter("count >= 8").orderBy(F.col("count").desc(), "lang").limit(p.most_langs).collect()]
+    if not langs:
+        return None
+    known = named.filter(F.col("lang").isin(langs))
+    by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id", "size")
+    ids = known.select("doc_id", "lang", F.octet_length("text").cast("long").alias("size")).withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= p.train_docs)
+    ids = ids.withColumn("bytes", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("bytes") <= p.train_bytes // len(langs))
+    # at most most_langs times train_docs ids
+    rows = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (r.lang, zlib.crc32(str((p.seed, r.doc_id)).encode()), str(r.doc_id)))
     return fit([(r.text, r.lang) for r in rows], p)
 
 
