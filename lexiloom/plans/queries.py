@@ -169,12 +169,23 @@ def q_markup_text(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d).withColumn("literal", X.collapse_whitespace("value")).filter(X.collapsed_length("literal") >= MIN).select("key", "literal")
 
 
+_TITLE = "<title>([^<]*)</title>"
+_URL_LINE = ('export const a = "', '";\nconst b = { "visible label": ', ', c: require("', '") };\n')
+_TITLE_LINE = ('const t = <h1 title="', '" data-id="', '">{`', "`}{`${t} ", "`}</h1>;\nconst d = <div>\n")
+
+
 def q_extract_literals(spark: SparkSession, d: str) -> DataFrame:
-    """A TypeScript file made of every page's url, title node and markup, and the literals in it."""
-    p = table(spark, d, "pages")
-    quoted = F.to_json(F.struct(F.col("url").alias("u")))
-    src = F.concat(F.lit("const page = "), quoted, F.lit(";\nconst same = { \"visible label\": "), F.concat(F.lit("\""), F.regexp_replace("url", "[\"\\\\]", ""), F.lit("\"")), F.lit(" };\n"))
-    files = p.select(F.concat(F.lit("page"), "page_id", F.lit(".ts")).alias("path"), F.encode(src, "utf-8").alias("content"))
+    """A TypeScript file of each page, with its url, title and all text nodes, and the literals found in it.
+
+    The url stands in an export, as a value, and in a call of require; the title in a visible and another attribute, in
+    a template and in one with a placeholder; each text node is the text of an element in a line of its own.
+    """
+    clean = lambda c: F.regexp_replace(c, "[\"`\\\\{}$\\n]", "")
+    p = table(spark, d, "pages").select("page_id", clean("url").alias("u"), clean(F.regexp_extract("html", _TITLE, 1)).alias("t"), F.regexp_extract_all("html", F.lit(NODE), F.lit(1)).alias("nodes"))
+    texts = F.array_join(F.transform("nodes", lambda x: F.concat(F.lit("<p>"), X.collapse_whitespace(F.regexp_replace(x, "[{}]", "")), F.lit("</p>"))), "\n")
+    one = F.concat(F.lit(_URL_LINE[0]), "u", F.lit(_URL_LINE[1] + '"'), "u", F.lit('"' + _URL_LINE[2]), "u", F.lit(_URL_LINE[3]))
+    two = F.concat(*(x for k in range(4) for x in (F.lit(_TITLE_LINE[k]), F.col("t"))), F.lit(_TITLE_LINE[4]))
+    files = p.select(F.concat(F.lit("page"), "page_id", F.lit(".tsx")).alias("path"), F.encode(F.concat(one, two, texts, F.lit("\n</div>;\n")), "utf-8").alias("content"))
     return L.extract(files, MIN).select("file", "line", "column", "kind", "literal", "error")
 
 
@@ -246,6 +257,8 @@ two AS (
   FROM five JOIN cat ON cat.norm_value = five.b WHERE reason IS NOT NULL
 ), top AS (SELECT * FROM six QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, key) <= 3)"""
 
+_CLEAN = "regexp_replace({0}, '[\"`\\\\{{}}$\\n]', '', 'g')"
+
 ORACLE: dict[str, str] = {
     "normalize": f"{_WITH} SELECT file, line, lower({_collapse('raw')}) AS norm FROM raw_lines",
     "trimmed_length": f"{_WITH} SELECT file, line, {_LEN.format('c')} AS n FROM (SELECT *, {_collapse('raw')} AS c FROM raw_lines)",
@@ -279,6 +292,16 @@ ORACLE: dict[str, str] = {
       FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)
       WHERE NOT list_contains(string_split(path, '/'), 'en') AND path <> 'x'""",
     "markup_text": f"{_WITH} SELECT key, literal FROM (SELECT key, {_collapse('value')} AS literal FROM nodes) WHERE {_LEN.format('literal')} >= 8",
+    "extract_literals": f"""
+      WITH p AS (
+        SELECT concat('page', page_id, '.tsx') AS file, {_CLEAN.format("url")} AS u, {_CLEAN.format(f"regexp_extract(html, '{_TITLE}', 1)")} AS t, regexp_extract_all(html, '{NODE}', 1) AS nodes FROM pages
+      ), found AS (
+        SELECT file, 2 AS line, {len(_URL_LINE[1].split(chr(10))[1]) + 1} AS "column", 'string' AS kind, u AS raw FROM p
+        UNION ALL SELECT file, 3, {len(_TITLE_LINE[0])}, 'string', t FROM p
+        UNION ALL SELECT file, 3, {len("".join(_TITLE_LINE[:3]))} + 2 * strlen(t), 'template', t FROM p
+        UNION ALL SELECT file, 4 + generate_subscripts(nodes, 1), 4, 'jsx_text', regexp_replace(unnest(nodes), '[{{}}]', '', 'g') FROM p
+      )
+      SELECT file, line::INTEGER AS line, "column"::INTEGER AS "column", kind, literal, NULL::VARCHAR AS error FROM (SELECT *, {_collapse("raw")} AS literal FROM found) WHERE {_LEN.format("literal")} >= 8""",
     "similar_candidates": f"""{_WITH}, {_WORDS}
       SELECT a, count(*) AS n, min(b) AS least FROM cand GROUP BY a""",
     "similar_top3": f"""{_WITH}, {_WORDS}, {_TOP3}

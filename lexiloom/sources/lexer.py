@@ -2,7 +2,8 @@
 
 One pass over the tokens keeps a stack of the constructs that decide whether a string is visible: blocks, object
 literals, type bodies, enums, import and export statements, JSX elements and attributes. That isn't a parser: an error
-is reported for what doesn't close (strings, templates, comments, brackets, JSX), other wrong syntax is passed over.
+is reported for what doesn't close (strings, templates, comments, brackets, JSX), for an operator without a right side
+and for a declaration without a name; other wrong syntax is passed over.
 """
 
 from __future__ import annotations
@@ -18,13 +19,21 @@ _SPACE = re.compile(r"\s+", re.U)
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*")
 _NUMBER = re.compile(r"(?:0[xXbBoO][\w]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?)")
 _OPERATOR = re.compile(r"=>|\.\.\.|\?\.|\?\?=?|[=!]==?|&&=?|\|\|=?|\*\*=?|\+\+|--|<<=?|[-+*/%&|^]=|<=|>=|.", re.S)
+#: Brackets of type arguments; arrows and strings are passed over as a whole.
+_ANGLE = re.compile(r"""=>|"[^"\n]*"|'[^'\n]*'|<|>""")
 #: Words after which an expression begins.
 _BEFORE_VALUE = frozenset("return typeof case in of do else instanceof new delete void throw await yield default extends as satisfies".split())
 _CONTINUES = frozenset(". , ? : + - * / % & | ^ = < > ( [ ` => ?. ?? && || == === != !== <= >= in instanceof as satisfies ) ] } { of from".split())
 
 
+#: Operators that want something behind them.
+_DANGLING = frozenset("= += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= == === != !== <= >= && || ?? + - % => . ?. ...".split())
+#: Words whose parenthesis isn't a value, so that a regular expression may follow it.
+_HEADS = frozenset(("if", "while", "for", "with"))
+
+
 class SyntaxProblem(ValueError):
-    """Something that doesn't close."""
+    """Something that doesn't close, or lacks a part."""
 
 
 @dataclass(frozen=True)
@@ -121,7 +130,7 @@ class Lexer:
     def value_next(self) -> bool:
         """Whether an expression may begin here."""
         p = self.top.prev
-        return p == "" or p in _BEFORE_VALUE or not (p[-1].isalnum() or p[-1] in "_$)]\"'`" or p in ("}", "value", "++", "--"))
+        return p in ("", "head)") or p in _BEFORE_VALUE or not (p[-1].isalnum() or p[-1] in "_$)]\"'`" or p in ("}", "value", "++", "--"))
 
     def code(self, depth: int) -> None:
         """Tokens until the frame at this depth closes (or the end)."""
@@ -178,7 +187,7 @@ class Lexer:
 
     def word(self, w: str) -> None:
         t = self.top
-        begins = t.what in ("program", "block") and t.prev in ("", ";", "}", "{")
+        begins = t.what in ("program", "block") and t.prev in ("", ";", "}", "block}", "{")
         self.i += len(w)
         if begins and w in ("import", "export"):
             ahead = self.i
@@ -191,7 +200,7 @@ class Lexer:
         if t.prev not in (".", "?."):
             if w in ("class", "interface", "enum"):
                 t.pending = w
-            elif w == "type" and self.typed and t.prev in ("", ";", "}", "{", "export", "declare"):
+            elif w == "type" and self.typed and t.prev in ("", ";", "}", "block}", "{", "export", "declare"):
                 if re.compile(r"\s+[\w$]+\s*(<[^=]*>)?\s*=").match(self.s, self.i):
                     t.types = True
             elif w in ("case", "default"):
@@ -202,7 +211,10 @@ class Lexer:
         m = _OPERATOR.match(self.s, self.i)
         op, t = m[0], self.top
         self.i = m.end()
+        if t.prev in ("const", "var") and t.what != "type" or op == ";" and t.prev == ",":
+            raise SyntaxProblem(f"{op} stands where a name or a value should")
         if op == ";":
+            self.whole()
             while self.top.what == "statement":
                 self.stack.pop()
             t = self.top
@@ -218,10 +230,15 @@ class Lexer:
             t.types = False
         t.prev = op
 
+    def whole(self) -> None:
+        """What ends here must not end with an operator."""
+        if self.top.prev in _DANGLING or self.top.what == "object" and self.top.prev == ":":
+            raise SyntaxProblem(f"nothing follows {self.top.prev}")
+
     def open(self, c: str) -> None:
         p = self.top.prev
         self.i += 1
-        self.stack.append(Frame("paren" if c == "(" else "bracket", "require" if p == "require" and c == "(" else ""))
+        self.stack.append(Frame("paren" if c == "(" else "bracket", p if c == "(" and (p == "require" or p in _HEADS) else ""))
 
     def brace(self) -> None:
         t = self.top
@@ -238,15 +255,16 @@ class Lexer:
             what = "object"
         elif p == ":" and self.typed:
             what = "type"
-        elif p == "=>" or p == ")" or p in ("", ";", "{", "}", "else", "try", "finally", "do", "catch", "static") and t.what in ("program", "block", "class", "switch"):
+        elif p in ("=>", ")", "head)") or p in ("", ";", "{", "}", "block}", "else", "try", "finally", "do", "catch", "static") and t.what in ("program", "block", "class", "switch"):
             what = "block"
         elif not self.value_next() and p not in _BEFORE_VALUE:
             what = "block"
         else:
             what = "object"
-        self.stack.append(Frame(what))
+        self.stack.append(Frame(what, "arrow" if p == "=>" else ""))
 
     def close(self, c: str) -> None:
+        self.whole()
         while self.top.what == "statement":
             self.stack.pop()
         t = self.top
@@ -257,13 +275,13 @@ class Lexer:
         self.stack.pop()
         if t.what in ("hole", "container"):
             return
-        self.top.prev = c
+        self.top.prev = "head)" if t.name in _HEADS else c
         # a body ends the exported declaration it belongs to
         if self.top.what == "statement" and t.what in ("block", "class", "enum") and self.ahead() not in (".", ",", ")", "(", ";", "from"):
             self.stack.pop()
             self.top.prev = "}"
-        elif t.what == "block" and self.top.what in ("program", "block"):
-            self.top.prev = "}"
+        elif t.what == "block" and t.name != "arrow" and self.top.what in ("program", "block"):
+            self.top.prev = "block}"  # a statement's end: what follows begins anew
 
     def ahead(self) -> str:
         m = re.compile(r"\s*(\w+|.)?").match(self.s, self.i)
@@ -361,8 +379,8 @@ class Lexer:
         m = _TAG.match(self.s, self.i)
         name = m[0] if m else ""
         self.i += len(name)
-        if name and self.s.startswith("<", self.i):  # type arguments
-            self.i = self.s.find(">", self.i) + 1
+        if name and self.s.startswith("<", self.i):
+            self.type_arguments()
         while True:
             self.skip()
             if self.s.startswith("/>", self.i):
@@ -403,6 +421,15 @@ class Lexer:
             else:
                 self.element()
 
+    def type_arguments(self) -> None:
+        depth = 0
+        for m in _ANGLE.finditer(self.s, self.i):
+            depth += {"<": 1, ">": -1}.get(m[0], 0)
+            if not depth:
+                self.i = m.end()
+                return
+        raise SyntaxProblem("type arguments aren't closed")
+
     def attribute(self, name: str) -> None:
         self.skip()
         if not self.s.startswith("=", self.i):

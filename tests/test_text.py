@@ -100,6 +100,11 @@ SNIPPETS = [
     ("a.tsx", "const a = <b data-testid={`Sign in`}/>", 1), ("a.tsx", 'const a = <b onClick={() => alert("Sign in")}/>', 0), ("a.tsx", 'const a = <b onClick={() => { alert("Sign in") }}/>', 1),
     ("a.ts", '// stop\nconst a = "Sign in"', 0), ("a.ts", 'interface A { k: "Sign in" }\nconst b = "Sign out"', 1), ("a.ts", 'const f = (x: {a: "Sign in"}) => { return "Sign out" }', 1),
     ("a.ts", 'export const a = {\n k: "Sign in"\n}\nconst b = "Sign out"', 1), ("a.ts", "const r = /\"[/]'/.test(z); const s = 'Sign in'", 1),
+    ("a.ts", 'if (x) /re"gex/.test("Sign in here")', 1), ("a.ts", "while (x) /a\"b/.exec('Sign in here')", 1), ("a.ts", 'for (const a of b) /"/.test("Sign in here")', 1),
+    ("a.ts", 'const o = { a: 1 };\n/re"x/.test("Sign in here")', 1), ("a.ts", 'if (a) { b() }\n/re"x/.test("Sign in here")', 1), ("a.ts", 'const a = (b) / c; const d = "Sign in here" // "/', 1),
+    ("a.tsx", '<A<B<C>> label="Sign in here">x</A>', 1), ("a.tsx", '<A<(x: B) => C<"Sign out now">> id="Sign in here">Hello there</A>', 1),
+    ("a.ts", 'const a: Map<B, C<D>> = f(); x!; y++; let g = (h?: A<B>) => { return "Sign in here" }', 1), ("a.ts", "for (;;) { f('Sign in here', ) }", 1),
+    ("a.ts", 'switch (x) { case 1: } const a = [1, ]; export * from "Sign in here"; function* g() { yield* "Sign in here"; }', 1),
     ("a.ts", 'export class A { x = "Sign in"; m(): string { return "Sign out" } }', 1), ("a.ts", 'switch (x) { case "Sign in": { f("Sign out") } }', 2),
 ]
 
@@ -109,6 +114,12 @@ def test_extract(path, source, n):
     assert len([f for f in lexer.literals(path, source.encode(), "stop") if T.trimmed_length(f.raw) >= 8]) == n
 
 
+@pytest.mark.parametrize("source", ["const = ;", "x = ;", "f(a +)", "const a = { b: }", "var = 1", "a, ;", "[a =>]", "x.;", "<A<B>x</A>", "f('a", "a = `b", "(", "}"])
+def test_wrong_syntax(source):
+    with pytest.raises(lexer.SyntaxProblem):
+        lexer.literals("a.tsx", source.encode(), "stop")
+
+
 def test_places_and_escapes():
     f = lexer.literals("a.ts", 'x\n é("Sign \\"in\\"")'.encode(), "stop")[0]
     assert (f.line, f.column, f.raw) == (2, 5, 'Sign "in"')
