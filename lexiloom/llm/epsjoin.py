@@ -10,7 +10,8 @@ compares what is left by matrix products, and those within epsilon again in doub
 
 Groups are the connected components; the vector that stays has the least vec_id, nulls last. Null, empty and not
 finite vectors, those of length 0 and those of another dimension than the most frequent one pair with nothing and
-stay. Rows that repeat are vectors of their own, so of those with a vector all but one go. Other columns are ignored.
+stay. Distances are told of turned vectors in single precision, so a cosine within some 1e-6 of min_cosine may fall on
+either side. Rows that repeat are vectors of their own, so of those with a vector all but one go. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions, table
-from .vectors import matrix, usual_dim, vectors
+from .common import components, cut, partitions, ragged, table
+from .vectors import matrix, packed_rows, usual_dim, vectors
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class Params:
 
     min_cosine: float = 0.95
     axes: int = 6
-    block: int = 2048
+    block: int = 16_384
     leaf: int = 128
     fan: int = 16
 
@@ -59,46 +60,63 @@ def principal_axes(v: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(s)[1][:, ::-1].copy()
 
 
-def _gap(lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> float:
-    d = np.maximum(0, np.maximum(lo1 - hi2, lo2 - hi1))
-    return float(d @ d)
+def _tree(x: np.ndarray, leaf: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Boxes (least, greatest) of the leaves of a sequence, of pairs of them and so on up to one; what is missing has the empty box."""
+    n = 1 << max(0, (-(-len(x) // leaf) - 1).bit_length())
+    edge = np.arange(0, len(x), leaf)
+    lo, hi = np.full((n, x.shape[1]), np.inf, np.float32), np.full((n, x.shape[1]), -np.inf, np.float32)
+    lo[: len(edge)], hi[: len(edge)] = np.minimum.reduceat(x, edge), np.maximum.reduceat(x, edge)
+    out = [(lo, hi)]
+    while len(lo) > 1:
+        lo, hi = np.minimum(lo[0::2], lo[1::2]), np.maximum(hi[0::2], hi[1::2])
+        out.append((lo, hi))
+    return out
 
 
 def join(x: np.ndarray, y: np.ndarray, eps: float, leaf: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places in x and y of all pairs within eps; of a sequence with itself (same), those with the first before the second."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    """Places in x and y of all pairs within eps; of a sequence with itself (same), those with the first before the second.
+
+    Both are halved again and again, a level at a time for all pairs of halves; those with provably distant boxes go no
+    further, and the leaves left are compared by products, the pairs within reach again in double precision.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(x) or not len(y):
+        return none, none
     e2 = eps * eps
     slack = e2 + 1e-4  # of single precision
-    boxes: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-    def box(which: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        if (which, a, b) not in boxes:
-            v = (x, y)[which][a:b]
-            boxes[which, a, b] = v.min(0), v.max(0)
-        return boxes[which, a, b]
-
-    todo = [(0, len(x), 0, len(y))] if len(x) and len(y) else []
-    while todo:
-        a, b, c, d = todo.pop()
-        if same and a >= d or _gap(*box(0, a, b), *box(0 if same else 1, c, d)) > slack:
-            continue
-        if b - a <= leaf and d - c <= leaf:
-            p, q = x[a:b], y[c:d]
-            d2 = (p * p).sum(1)[:, None] + (q * q).sum(1) - 2 * p @ q.T
-            i, j = np.nonzero(d2 <= slack)
-            if same:
-                i, j = i[i + a < j + c], j[i + a < j + c]
-            if len(i):
-                w = p[i].astype(np.float64) - q[j]
-                ok = (w * w).sum(1) <= e2
-                out.append((i[ok] + a, j[ok] + c))
-            continue
-        m, n = (a + b + 1) // 2, (c + d + 1) // 2
-        xs = [(a, b)] if b - a <= leaf else [(a, m), (m, b)]
-        ys = [(c, d)] if d - c <= leaf else [(c, n), (n, d)]
-        todo += [(*s, *t) for s in xs for t in ys]
+    one, two = _tree(x, leaf), _tree(y, leaf)
+    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for k in range(max(len(one), len(two)) - 1, -1, -1):
+        (lo1, hi1), (lo2, hi2) = one[min(k, len(one) - 1)], two[min(k, len(two) - 1)]
+        if k < max(len(one), len(two)) - 1:
+            i = (2 * a[:, None] + [0, 1]) if k < len(one) - 1 else a[:, None]
+            j = (2 * b[:, None] + [0, 1]) if k < len(two) - 1 else b[:, None]
+            a, b = np.repeat(i, j.shape[1], 1).reshape(-1), np.tile(j, (1, i.shape[1])).reshape(-1)
+        if same:
+            a, b = a[a <= b], b[a <= b]
+        near = np.zeros(len(a), bool)
+        for s in range(0, len(a), 4096):
+            u, v = a[s : s + 4096], b[s : s + 4096]
+            d = np.maximum(0, np.maximum(lo1[u] - hi2[v], lo2[v] - hi1[u]))  # infinite for what is missing
+            near[s : s + 4096] = (d * d).sum(1) <= slack
+        a, b = a[near], b[near]
+    norm1, norm2 = (x * x).sum(1), (y * y).sum(1)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else none
+    for s, e in zip(edge, np.append(edge[1:], len(a))):  # a leaf of x with all leaves of y it has to meet
+        p0, p1 = a[s] * leaf, min((a[s] + 1) * leaf, len(x))
+        q = np.concatenate([np.arange(t * leaf, min((t + 1) * leaf, len(y))) for t in b[s:e]])
+        d2 = norm1[p0:p1, None] + norm2[q] - 2 * (x[p0:p1] @ y[q].T)
+        i, j = np.nonzero(d2 <= slack)
+        i, j = i + p0, q[j]
+        if same:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            w = x[i].astype(np.float64) - y[j]
+            ok = (w * w).sum(1) <= e2
+            out.append((i[ok], j[ok]))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 
@@ -116,7 +134,7 @@ def close_pairs(v: DataFrame, p: Params = Params()) -> DataFrame:
             x = matrix(b.column(1), dim).astype(np.float64)
             n = np.sqrt((x * x).sum(1))
             x = (x[n > 0] / n[n > 0, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(n > 0)), pa.array([r.tobytes() for r in x], pa.binary())], ["row", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(n > 0)), packed_rows(x)], ["row", "vec"])
 
     v = v.select("row", "vec").mapInArrow(unit, "row long, vec binary")
     axes = principal_axes(v, dim)
@@ -126,30 +144,24 @@ def close_pairs(v: DataFrame, p: Params = Params()) -> DataFrame:
         for b in it:
             x = (matrix(b.column(1), dim).astype(np.float64) @ axes).astype(np.float32)
             cells = np.floor(x[:, :k] / eps).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cells.tolist(), pa.list_(pa.int32())), pa.array(x[:, 0], pa.float32())], ["row", "vec", "cell", "lead"])
+            yield pa.RecordBatch.from_arrays([b.column(0), packed_rows(x), ragged(pa.int32(), cells.reshape(-1), np.arange(len(x) + 1) * k), pa.array(x[:, 0], pa.float32())], ["row", "vec", "cell", "lead"])
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        n = TaskContext.get().partitionId() << 32
-        rows, vecs = [], []
-
-        def block() -> pa.RecordBatch:
-            nonlocal n
-            x = np.frombuffer(b"".join(vecs), np.float32).reshape(-1, dim)
-            n += 1
-            cols = [pa.array([n - 1]), pa.array([np.array(rows, np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([np.stack([x.min(0), x.max(0)]).tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["block", "rows", "vecs", "box"])
-
-        for b in it:
-            for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows.append(r)
-                vecs.append(x)
-                if len(rows) == p.block:
-                    yield block()
-                    rows, vecs = [], []
-        if rows:
-            yield block()
+        n, rest = TaskContext.get().partitionId() << 32, None
+        for t in [*it, None]:
+            held = [x for x in (rest, t) if x is not None and len(x)]
+            both = pa.Table.from_batches(held).combine_chunks() if held else None
+            rest = None
+            while both is not None and len(both) and (len(both) >= p.block or t is None):
+                part, both = both.slice(0, p.block), both.slice(p.block)
+                x = matrix(part.column(1).combine_chunks(), dim)
+                cols = [pa.array([n]), *(pa.array([c.tobytes()], pa.binary()) for c in (part.column(0).to_numpy(), x, np.stack([x.min(0), x.max(0)])))]
+                yield pa.RecordBatch.from_arrays(cols, ["block", "rows", "vecs", "box"])
+                n += 1
+            if both is not None and len(both):
+                rest = both.combine_chunks().to_batches()[0]
 
     order = v.mapInArrow(turned, "row long, vec binary, cell array<int>, lead float").repartitionByRange(partitions(v), "cell", "lead").sortWithinPartitions("cell", "lead", "row")
     b = cut(order.select("row", "vec").mapInArrow(blocks, "block long, rows binary, vecs binary, box binary"))
@@ -195,19 +207,25 @@ def close_pairs(v: DataFrame, p: Params = Params()) -> DataFrame:
         pairs = both.select("i", "j", "bi", "bj").mapInArrow(near, "i long, j long")
 
     def within(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, home = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
         for t in it:
-            for i, j, r1, x1, r2, x2 in zip(*(t.column(c).to_pylist() for c in range(6))):
-                r1, r2 = np.frombuffer(r1, np.int64), np.frombuffer(r2, np.int64)
-                x1, x2 = (np.frombuffer(x, np.float32).reshape(-1, dim) for x in (x1, x2))
-                s, u = join(x1, x2, eps, p.leaf, i == j)
-                yield pa.RecordBatch.from_arrays([pa.array(r1[s]), pa.array(r2[u])], ["a", "b"])
+            for own, other, r, x in zip(*(t.column(c).to_pylist() for c in (0, 2, 3, 4))):
+                if other is None:  # what the next ones meet
+                    rows, home = np.frombuffer(r, np.int64), np.frombuffer(x, np.float32).reshape(-1, dim)
+                    continue
+                r2, x2 = (rows, home) if x is None else (np.frombuffer(r, np.int64), np.frombuffer(x, np.float32).reshape(-1, dim))
+                s, u = join(home, x2, eps, p.leaf, own == other)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[s]), pa.array(r2[u])], ["a", "b"])
 
     b = b.join(number, "block").select("n", "rows", "vecs")
-    one = b.select(F.col("n").alias("i"), F.col("rows").alias("r1"), F.col("vecs").alias("x1"))
-    two = b.select(F.col("n").alias("j"), F.col("rows").alias("r2"), F.col("vecs").alias("x2"))
-    # merge joins: blocks don't fit into a broadcast, and each pair is spread over the tasks by its second block
-    work = pairs.join(one.hint("merge"), "i").join(two.hint("merge"), "j").select("i", "j", "r1", "x1", "r2", "x2")
-    work = work.repartition(partitions(v), "i", "j")
+    # of a pair, one block is at home; it is sent once for every fan of those that come to it, which are sent by pair
+    even = (F.col("i") + F.col("j")) % 2 == 0
+    met = pairs.select(F.when(even, F.col("i")).otherwise(F.col("j")).alias("home"), F.when(even, F.col("j")).otherwise(F.col("i")).alias("other"))
+    met = cut(met.withColumn("fan", F.floor(F.col("other") / p.fan)))
+    homes = met.select("home", "fan").distinct().join(b.hint("merge"), F.col("home") == F.col("n")).select("home", "fan", F.lit(None).cast("long").alias("other"), "rows", "vecs")
+    apart = met.filter("home <> other").join(b.hint("merge"), F.col("other") == F.col("n")).select("home", "fan", "other", "rows", "vecs")
+    self_ = met.filter("home = other").select("home", "fan", "other", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("binary").alias("vecs"))
+    work = homes.union(apart).union(self_).repartition(2 * partitions(v), "home", "fan").sortWithinPartitions("home", "fan", F.col("other").asc_nulls_first())
     return work.mapInArrow(within, "a long, b long")
 
 
