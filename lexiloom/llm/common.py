@@ -20,6 +20,10 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = 0xD6E8FEB86659FD93
 
 
+#: The folder of a local session that names none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
@@ -30,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not to:
         if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        to = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
-        spark.conf.set("spark.checkpoint.dir", to)
+        to = _OWN.setdefault(sc.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+        _OWN[sc.applicationId] = to
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(to)
     return to

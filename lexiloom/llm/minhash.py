@@ -7,13 +7,18 @@ done as soon as all its components are, mostly after one to three rounds. Rounds
 documents at once.
 
 Documents with the same signature are one (exact copies cost no comparison). Those left are banded; the buckets that
-hold the same documents are one bucket; each pair in a bucket that isn't connected there already is compared on
-whole signatures, whose share of equal components is an estimate of the Jaccard similarity with less variance than
-MinHash's. Union-find groups what is similar enough.
+hold the same documents are one bucket; each pair in a bucket that isn't connected there already is verified on whole
+signatures, whose share of equal components is an estimate of the Jaccard similarity with less variance than MinHash's.
+Union-find groups what is similar enough.
+
+A bucket of more than most documents is never held by one task. All its documents are compared with the first, in parts;
+those similar to it are connected, and only what isn't similar to it meets the others, in pairs of blocks.
 
 The document that stays is that with the least doc_id, nulls last, then the least hash of the text. A null text or
 one without words is similar to nothing and stays. Rows that repeat id and text are one document: all carry its group,
-the first of them stays (they are told apart by nothing, so any may). Other columns are neither read nor changed.
+the first of them stays (they are told apart by nothing, so any may). Texts are compared whole, whatever their length;
+an estimate that equals the threshold is similar enough. A doc_id has to be a number or null. Other columns, of whatever
+names, are neither read nor changed; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,12 +36,15 @@ from .common import APART, GOLDEN, LOWER, components, cut, doc_words, fresh, mix
 
 @dataclass(frozen=True)
 class Params:
-    """shingle: words an element has. size: components. bands: each has size // bands components. threshold: least similarity of near-duplicates."""
+    """shingle: words an element has. size: components. bands: each has size // bands components. threshold: least similarity of near-duplicates. most: documents of a bucket that one task compares. block: about as many of a larger one meet as many others in a task. salts: parts in which a larger one meets its first document."""
 
     shingle: int = 3
     size: int = 128
     bands: int = 32
     threshold: float = 0.55
+    most: int = 4096
+    block: int = 2048
+    salts: int = 64
 
 
 def elements(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,15 +168,6 @@ def edges(signs: DataFrame, p: Params) -> DataFrame:
                     h = mix((h + sig[:, :, j]) * GOLDEN)
                 yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(key, p.bands))], ["bucket", "key"])
 
-    def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(it):
-            bucket, key = t.column(0).to_numpy(), t.column(1).to_numpy()
-            at, n = _runs(bucket)
-            # buckets with the same documents get the same name
-            name = mix(np.add.reduceat(mix(key.view(np.uint64)), at) + n.astype(np.uint64) * GOLDEN)
-            many = np.repeat(n > 1, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n)[many].view(np.int64)), pa.array(key[many])], ["bucket", "key"])
-
     def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = int(np.ceil(p.threshold * p.size - 1e-9))
         for t in _by_key(it):
@@ -184,10 +183,66 @@ def edges(signs: DataFrame, p: Params) -> DataFrame:
                 b.append(key[e[:, 1]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    rows = signs.select("key", "sig").mapInArrow(bands, "bucket long, key long").repartition("bucket").sortWithinPartitions("bucket", "key")
-    rows = rows.mapInArrow(shared, "bucket long, key long").dropDuplicates(["bucket", "key"])
-    rows = rows.join(signs.select("key", "sig"), "key").select("bucket", "key", "sig")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(verified, "a long, b long")
+    rows = signs.select("key", "sig").mapInArrow(bands, "bucket long, key long")
+    # counted with partial sums, so that no task gets a whole bucket; of those with the same documents one is enough
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(key))").alias("x")).filter("n > 1")
+    sizes = cut(sizes.groupBy("x", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
+    met = rows.join(sizes, "bucket").join(signs.select("key", "sig"), "key").select("bucket", "key", "sig", "n")
+    small = met.filter(F.col("n") <= p.most).drop("n").repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(verified, "a long, b long")
+    if sizes.filter(F.col("n") > p.most).isEmpty():
+        return small
+    return small.union(large_edges(cut(met.filter(F.col("n") > p.most)), p))
+
+
+def large_edges(rows: DataFrame, p: Params) -> DataFrame:
+    """edges for buckets of any size: rows of bucket, key, sig and n, the number of rows in the bucket."""
+    least = int(np.ceil(p.threshold * p.size - 1e-9))
+
+    def to_first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in it:
+            if len(t):
+                sig, own = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(len(t), p.size) for c in (2, 5))
+                yield pa.RecordBatch.from_arrays([*t.columns[:5], pa.array((sig == own).sum(1) >= least)], ["bucket", "key", "sig", "n", "head", "near"])
+
+    def across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(it):
+            at, n = _runs(t.column(0).to_numpy())
+            key, sig = t.column(2).to_numpy(), np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(len(t), p.size)
+            mine, near = t.column(1).to_numpy(), t.column(4).to_numpy(zero_copy_only=False)
+            for lo, k in zip(at, n):
+                own = slice(lo, lo + k)
+                e = _between(sig[own], key[own], mine[own] == 0, near[own], least)
+                yield pa.RecordBatch.from_arrays([pa.array(key[own][e[:, 0]]), pa.array(key[own][e[:, 1]])], ["a", "b"])
+
+    salt = F.pmod(F.xxhash64("key"), F.lit(p.salts))
+    first = rows.groupBy("bucket").agg(F.min(F.struct("key", "sig")).alias("f"))
+    first = first.select("bucket", F.col("f.key").alias("head"), F.col("f.sig").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p.salts - 1).cast("long"))).alias("salt"))
+    told = rows.withColumn("salt", salt).join(first, ["bucket", "salt"]).select("bucket", "key", "sig", "n", "head", "own")
+    told = cut(told.mapInArrow(to_first, "bucket long, key long, sig binary, n long, head long, near boolean"))
+    star = told.filter("near AND key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    left = told.filter("NOT near").groupBy("bucket").agg(F.count("*").alias("m"))
+    told = told.join(left, "bucket").withColumns({"parts": F.ceil(F.col("n") / p.block).cast("int"), "others": F.ceil(F.col("m") / p.block).cast("int")})
+    all_ = told.select("bucket", "key", "sig", "near", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"), F.lit(1).alias("side"))
+    rest = told.filter("NOT near").select("bucket", "key", "sig", "near", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.pmod(F.xxhash64("key", F.lit(2)), F.col("others")).alias("j"), F.lit(0).alias("side"))
+    work = rest.unionByName(all_).select(F.xxhash64("bucket", F.col("i").cast("long"), F.col("j").cast("long")).alias("group"), F.col("side").cast("long").alias("side"), "key", "sig", "near")
+    work = work.repartition("group").sortWithinPartitions("group", "side", "key")
+    return star.union(work.mapInArrow(across, "a long, b long"))
+
+
+def _between(sig: np.ndarray, key: np.ndarray, mine: np.ndarray, near: np.ndarray, least: int) -> np.ndarray:
+    """Places of pairs that connect each row of mine with all others it is similar to; near ones are connected already."""
+    other = np.flatnonzero(~mine)
+    group = np.arange(len(key))
+    if (at := other[near[other]]).size:
+        group[at] = at[0]
+    out = []
+    for i in np.flatnonzero(mine):
+        may = other[(group[other] != group[i]) & (key[other] != key[i])]
+        hit = may[(sig[may] == sig[i]).sum(1) >= least]
+        for g in np.unique(group[hit]):
+            out.append((i, hit[group[hit] == g][0]))
+            group[group == g] = group[i]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:

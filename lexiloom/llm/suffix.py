@@ -13,9 +13,12 @@ spans to cut; the first place of each passage stays. That is exact, up to collis
 3. A shard sends the first of each group, in parts by hash; a part merges the sorted runs by binary search, two and
    two, and the later of two equal windows is a repeat.
 
-A null or empty text, or one of fewer words, has no repeats. Rows that repeat id and text are one document: each is
-cut alike, and they aren't repeats of each other. Other columns are neither read nor changed, but for n_chars, which
-is counted anew where without_repeats cuts a text.
+A null or empty text, or one of fewer words, has no repeats. A text of any length is compared whole, in a shard of its
+own if it is longer than one. Rows that repeat id and text are one document: each is cut alike, and they aren't repeats
+of each other. Other texts with the same id are told apart by the hash of id and text, so no order is tied. A doc_id has
+to be a number or null (the greatest 64-bit number comes last, with the nulls). Other columns, of whatever names, are
+neither read nor changed, but for n_chars, which is counted anew where without_repeats cuts a text. An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -266,26 +269,7 @@ def repeated_spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
             a = np.unique(anchors(g, first, size)[1])
             x = g.of(a, size // 2 + 1)
             row = np.searchsorted(first, a, "right") - 1
-            key, pos = b.column(0).to_numpy()[row], (a - first[row]).astype(np.int32)
-            own = [(k, o) for k, o in enumerate(_split((x % np.uint64(n_parts)).astype(np.int64), n_parts)) if len(o)]
-            cols = [pa.array([c[o].tobytes() for _, o in own], pa.binary()) for c in (x, key, pos)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), *cols], ["part", "x", "key", "pos"])
-
-    def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in it for r in zip(*(b.column(i).to_pylist() for i in range(4)))]
-        x, key, pos = (np.frombuffer(b"".join(r[i] for r in got), t) for i, t in ((1, np.uint64), (2, np.int64), (3, np.int32)))
-        by = np.argsort(x)
-        x, key, pos = x[by], key[by], pos[by]
-        same = x[1:] == x[:-1]
-        many = np.append(same, False) | np.insert(same, 0, False) if len(x) else np.zeros(0, bool)
-        key, pos = key[many], pos[many]
-        by = np.argsort(key, kind="stable")
-        key, pos = key[by], pos[by]
-        rows = np.flatnonzero(np.insert(key[1:] != key[:-1], 0, True)) if len(key) else np.zeros(0, np.int64)
-        offs = np.append(rows, len(key))
-        for i in range(0, len(rows), 20_000):
-            o = offs[i : i + 20_001]
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows[i : i + 20_000]]), pa.ListArray.from_arrays(pa.array(o - o[0], pa.int32()), pa.array(pos[o[0] : o[-1]]))], ["key", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(b.column(0).to_numpy()[row]), pa.array(a - first[row], pa.int32())], ["x", "key", "pos"])
 
     def sorted_shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -354,9 +338,10 @@ def repeated_spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
             cols = [pa.array([r.column(i)[0].as_py() for r in out], pa.list_(pa.int32())) for i in (1, 2)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["key", "starts", "ends"])
 
-    blob = "x binary, key binary, pos binary"
-    found = src.select("key", "text").mapInArrow(anchored, f"part int, {blob}").repartitionById(n_parts, "part").mapInArrow(shared, "key long, known array<int>")
-    known = found.groupBy("key").agg(F.flatten(F.collect_list("known")).alias("known"))
+    found = src.select("key", "text").mapInArrow(anchored, "x long, key long, pos int")
+    # counted with partial sums; an anchor of very many documents is split by the join, as its other side has one row
+    twice = found.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
+    known = found.join(twice.hint("merge"), "x").groupBy("key").agg(F.collect_list("pos").alias("known"))
     rows = src.join(known, "key").select("key", "id", "text", "known")
     runs = rows.mapInArrow(sorted_shards, "part int, done long, x binary, id binary, key binary, start binary, end binary")
     late = runs.repartitionById(n_parts, "part").mapInArrow(across, "key long, starts array<int>, ends array<int>")

@@ -75,6 +75,31 @@ def test_minhash_against_all_pairs(spark):
     assert all(i in near or g == i for i, g in got.items())  # what resembles nothing stays alone
 
 
+def test_buckets_of_any_size(spark):
+    """Buckets that no task holds give the groups that those give which one does, and all pairs of a bucket."""
+    rng = random.Random(12)
+    base = words(100, 77)
+    rows = [(i, " ".join(x if rng.random() > 0.01 * (i % 5) else f"z{rng.randrange(10**6)}" for x in (base if i % 3 else base[:70] + words(30, i % 7)))) for i in range(150)]
+    rows += [(1000 + i, " ".join(words(60, 500 + i))) for i in range(30)]
+    signs = minhash.signed(docs(spark, rows), minhash.Params()).dropDuplicates(["key"]).cache()
+
+    def parts(pairs):
+        group = {}
+        for a, b in pairs:
+            a, b = group.setdefault(a, {a}), group.setdefault(b, {b})
+            if a is not b:
+                a |= b
+                for x in b:
+                    group[x] = a
+        return {frozenset(g) for g in group.values()}
+
+    p = minhash.Params()
+    sig = {r.key: np.frombuffer(bytes(r.sig), np.uint16) for r in signs.collect()}
+    all_pairs = [(a, b) for a, b in itertools.combinations(sig, 2) if (sig[a].reshape(p.bands, -1) == sig[b].reshape(p.bands, -1)).all(1).any() and (sig[a] == sig[b]).mean() >= p.threshold]
+    whole, split = ([tuple(r) for r in minhash.edges(signs, q).collect()] for q in (p, minhash.Params(most=4, block=6, salts=3)))
+    assert parts(whole) == parts(all_pairs) == parts(split) and len(parts(whole)) > 1
+
+
 def test_signature_is_superminhash():
     """The rounds over whole arrays give what the element by element algorithm gives."""
     rng = np.random.default_rng(4)

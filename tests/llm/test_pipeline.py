@@ -182,13 +182,11 @@ def test_draws_by_brute_force(spark):
         assert abs(n[s] - q * total) <= 4 * (total * q * (1 - q)) ** 0.5
 
 
-def test_run(spark, folder, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = corpus_pipeline.run(spark, folder)
-        assert out.columns == ["doc_id", "ids", "starts", "ends", "round_trip"] and out.filter("NOT round_trip").count() == 0 and out.count() > 90
-        # of the stages only the last one's folder is left, and no blocks
-        assert [p.rsplit("/", 1)[1] for p in glob.glob(f"{tmp_path}/pipeline-*/*")] == ["4-sentencepiece"] and not glob.glob(f"{tmp_path}/blocks-*")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_run(spark, folder, tmp_path, monkeypatch):
+    common.shared_dir(spark)
+    for m in (common, corpus_pipeline):
+        monkeypatch.setattr(m, "shared_dir", lambda s: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "ids", "starts", "ends", "round_trip"] and out.filter("NOT round_trip").count() == 0 and out.count() > 90
+    # of the stages only the last one's folder is left, and no blocks
+    assert [p.rsplit("/", 1)[1] for p in glob.glob(f"{tmp_path}/pipeline-*/*")] == ["4-sentencepiece"] and not glob.glob(f"{tmp_path}/blocks-*")
