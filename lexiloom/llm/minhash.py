@@ -36,7 +36,7 @@ from .common import APART, GOLDEN, LOWER, components, cut, doc_words, fresh, mix
 
 @dataclass(frozen=True)
 class Params:
-    """shingle: words an element has. size: components. bands: each has size // bands components. threshold: least similarity of near-duplicates. most: documents of a bucket that one task compares. block: about as many of a larger one meet as many others in a task. salts: parts in which a larger one meets its first document."""
+    """shingle: words an element has. size: components. bands: each has size // bands components. threshold: least similarity of near-duplicates. most: documents of a bucket that one task compares. block: about as many of a larger one meet as many others in a task. salts: parts in which a larger one meets its first document. broadcast_rows: most larger buckets (16 bytes each) whose names are broadcast to find their rows."""
 
     shingle: int = 3
     size: int = 128
@@ -45,6 +45,7 @@ class Params:
     most: int = 4096
     block: int = 2048
     salts: int = 64
+    broadcast_rows: int = 500_000
 
 
 def elements(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,11 +188,16 @@ def edges(signs: DataFrame, p: Params) -> DataFrame:
     # counted with partial sums, so that no task gets a whole bucket; of those with the same documents one is enough
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(key))").alias("x")).filter("n > 1")
     sizes = cut(sizes.groupBy("x", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
-    met = rows.join(sizes, "bucket").join(signs.select("key", "sig"), "key").select("bucket", "key", "sig", "n")
-    small = met.filter(F.col("n") <= p.most).drop("n").repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(verified, "a long, b long")
-    if sizes.filter(F.col("n") > p.most).isEmpty():
-        return small
-    return small.union(large_edges(cut(met.filter(F.col("n") > p.most)), p))
+    small, large = sizes.filter(F.col("n") <= p.most).drop("n"), sizes.filter(F.col("n") > p.most)
+    signs = signs.select("key", "sig")
+    met = rows.join(small, "bucket").join(signs, "key").select("bucket", "key", "sig")
+    out = met.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(verified, "a long, b long")
+    n_large = large.count()  # at most one for most rows
+    if not n_large:
+        return out
+    if n_large <= p.broadcast_rows:
+        large = F.broadcast(large)
+    return out.union(large_edges(cut(rows.join(large, "bucket").join(signs, "key").select("bucket", "key", "sig", "n")), p))
 
 
 def large_edges(rows: DataFrame, p: Params) -> DataFrame:
