@@ -40,6 +40,7 @@ def run(args: list[str], out: TextIO, err: TextIO, spark: SparkSession | None =
     except UsageError as e:
         err.write(f"{USAGE}\n{e}\n")
         return 2
+    own = spark is None
     if spark is None:
         spark = SparkSession.builder.appName("lexiloom").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
@@ -51,6 +52,9 @@ def run(args: list[str], out: TextIO, err: TextIO, spark: SparkSession | None =
     except (OSError, CatalogError, check.SourceError, PySparkException, Py4JError) as e:
         err.write(f"{str(e).splitlines()[0]}\n")
         return 2
+    finally:
+        if own:
+            spark.catalog.clearCache()  # literals, lookups and findings; in a given session they're the caller's
     return int(s["found"])
 
 
