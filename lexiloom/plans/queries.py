@@ -186,7 +186,7 @@ def q_extract_literals(spark: SparkSession, d: str) -> DataFrame:
     one = F.concat(F.lit(_URL_LINE[0]), "u", F.lit(_URL_LINE[1] + '"'), "u", F.lit('"' + _URL_LINE[2]), "u", F.lit(_URL_LINE[3]))
     two = F.concat(*(x for k in range(4) for x in (F.lit(_TITLE_LINE[k]), F.col("t"))), F.lit(_TITLE_LINE[4]))
     files = p.select(F.concat(F.lit("page"), "page_id", F.lit(".tsx")).alias("path"), F.encode(F.concat(one, two, texts, F.lit("\n</div>;\n")), "utf-8").alias("content"))
-    return L.extract(files, MIN).select("file", "line", "column", "kind", "literal", "error")
+    return L.extract(files, MIN).select("file", "line", F.col("column").alias("col"), "kind", "literal", "error")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
@@ -296,12 +296,12 @@ ORACLE: dict[str, str] = {
       WITH p AS (
         SELECT concat('page', page_id, '.tsx') AS file, {_CLEAN.format("url")} AS u, {_CLEAN.format(f"regexp_extract(html, '{_TITLE}', 1)")} AS t, regexp_extract_all(html, '{NODE}', 1) AS nodes FROM pages
       ), found AS (
-        SELECT file, 2 AS line, {len(_URL_LINE[1].split(chr(10))[1]) + 1} AS "column", 'string' AS kind, u AS raw FROM p
+        SELECT file, 2 AS line, {len(_URL_LINE[1].split(chr(10))[1]) + 1} AS col, 'string' AS kind, u AS raw FROM p
         UNION ALL SELECT file, 3, {len(_TITLE_LINE[0])}, 'string', t FROM p
         UNION ALL SELECT file, 3, {len("".join(_TITLE_LINE[:3]))} + 2 * strlen(t), 'template', t FROM p
         UNION ALL SELECT file, 4 + generate_subscripts(nodes, 1), 4, 'jsx_text', regexp_replace(unnest(nodes), '[{{}}]', '', 'g') FROM p
       )
-      SELECT file, line::INTEGER AS line, "column"::INTEGER AS "column", kind, literal, NULL::VARCHAR AS error FROM (SELECT *, {_collapse("raw")} AS literal FROM found) WHERE {_LEN.format("literal")} >= 8""",
+      SELECT file, line::INTEGER AS line, col::INTEGER AS col, kind, literal, NULL::VARCHAR AS error FROM (SELECT *, {_collapse("raw")} AS literal FROM found) WHERE {_LEN.format("literal")} >= 8""",
     "similar_candidates": f"""{_WITH}, {_WORDS}
       SELECT a, count(*) AS n, min(b) AS least FROM cand GROUP BY a""",
     "similar_top3": f"""{_WITH}, {_WORDS}, {_TOP3}
