@@ -136,6 +136,16 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
+def _slices(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts, some at a time; the driver has no room for the features of all at once in the making."""
+    part: list[str] = []
+    for i, t in enumerate(texts):
+        part.append(t)
+        if sum(map(len, part)) >= most or i == len(texts) - 1:
+            yield _joined(part)
+            part = []
+
+
 def fit(rows: list[tuple[str, str]], p: Params = Params()) -> Model | None:
     """A model of (text, language) rows; None if no language has 8 of them."""
     n = Counter(lang for _, lang in rows)
@@ -144,10 +154,16 @@ def fit(rows: list[tuple[str, str]], p: Params = Params()) -> Model | None:
     if not rows:
         return None
     fitted, held = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-    data, at = _joined([t for t, _ in fitted])
-    data = LOWER[data]
-    starts, ends, first = doc_words(data, at, APART)
-    f, f_at = features(data, starts, ends, p.buckets)
+    flat, sizes, counts = [], [], []
+    for data, at in _slices([t for t, _ in fitted]):
+        data = LOWER[data]
+        starts, ends, first_ = doc_words(data, at, APART)
+        f, f_at = features(data, starts, ends, p.buckets)
+        flat.append(f.astype(np.int32))
+        sizes.append(np.diff(f_at))
+        counts.append(np.diff(first_))
+    f, f_at, first = np.concatenate(flat), *(np.concatenate([[0], np.cumsum(np.concatenate(x))]) for x in (sizes, counts))
+    del flat, sizes, counts
     windows = [(a, min(a + p.window, int(first[i + 1])), y) for i, (_, y) in enumerate(fitted) for a in range(int(first[i]), int(first[i + 1]), p.window)]
     rng = np.random.default_rng(p.seed)
     emb = rng.normal(0, 1 / p.dim, (p.buckets, p.dim)).astype(np.float32)
@@ -175,7 +191,8 @@ def fit(rows: list[tuple[str, str]], p: Params = Params()) -> Model | None:
         head = np.flatnonzero(np.insert(idx[by][1:] != idx[by][:-1], 0, True))
         emb[idx[by][head]] -= rate * np.add.reduceat(back[row[by]], head)
     m = Model(langs, (emb @ w).astype(np.float32), bias, 1.0, 0.0, p)
-    means, count = Scorer(m).means(*_joined([t for t, _ in held]))
+    s = Scorer(m)
+    means, count = (np.concatenate(x) for x in zip(*(s.means(*t) for t in _slices([t for t, _ in held]))))
     y = np.array([k for _, k in held])[count > 0]
     z = means[count > 0] + bias
 
