@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,22 +15,35 @@ MARKER = "lexiloom-ignore"
 _RAW = "file string, line int, column int, kind string, raw string, error string"
 
 
-def raw_literals(files: DataFrame, marker: str = MARKER) -> DataFrame:
-    """file, line, column, kind, raw of the literals in files (path, content); for a file that can't be read, a row with its error."""
+_ARROW = pa.schema([("file", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("kind", pa.string()), ("raw", pa.string()), ("error", pa.string())])
+#: Literals after which those at hand are given on: what a task holds are these and one file's, however many files come together.
+ROWS = 1024
+
 
-    def run(it):  # noqa: ANN001, ANN202
-        import pandas as pd
+def _batches(it: Iterator[pa.RecordBatch], marker: str) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
 
-        for b in it:
-            rows: list[tuple] = []
-            for path, content in zip(b["path"], b["content"]):
-                try:
-                    rows += [(path, f.line, f.column, f.kind, f.raw, None) for f in literals(path, bytes(content), marker)]
-                except (SyntaxProblem, RecursionError) as e:
-                    rows.append((path, None, None, None, None, f"{path}: {e}"))
-            yield pd.DataFrame(rows, columns=["file", "line", "column", "kind", "raw", "error"]).astype({"line": "Int32", "column": "Int32"})
+    def batch(some: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), _ARROW.types)], schema=_ARROW)
 
-    return files.filter("path IS NOT NULL AND content IS NOT NULL").select("path", "content").mapInPandas(run, _RAW)
+    for b in it:
+        for i in range(b.num_rows):  # a file at a time becomes Python's
+            path = b.column(0)[i].as_py()
+            try:
+                rows += [(path, f.line, f.column, f.kind, f.raw, None) for f in literals(path, b.column(1)[i].as_py(), marker)]
+            except (SyntaxProblem, RecursionError) as e:
+                rows.append((path, None, None, None, None, f"{path}: {e}"))
+            if len(rows) >= ROWS:
+                yield batch(rows)
+                rows = []
+    if rows:
+        yield batch(rows)
+
+
+def raw_literals(files: DataFrame, marker: str = MARKER) -> DataFrame:
+    """file, line, column, kind, raw of the literals in files (path, content); for a file that can't be read, a row with its error."""
+    files = files.filter("path IS NOT NULL AND content IS NOT NULL").select("path", "content")
+    return files.mapInArrow(lambda it: _batches(it, marker), _RAW)
 
 
 def extract(files: DataFrame, min_length: int = 8, marker: str = MARKER) -> DataFrame:
